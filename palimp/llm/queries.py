@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimp.llm import neardup
+from palimp.llm import confusables, mojibake, neardup, termfreq
 from palimp.runtime import table
 
 
@@ -16,5 +16,58 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_1").alias("change_id_1"), F.col("id_2").alias("change_id_2"))
 
 
-QUERIES = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of changes that were read with another encoding than they were written in."""
+    return p2_restored(spark, sf_dir).select("change_id", "field").distinct()
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those fields with their text as it was written, where it can be had back."""
+    changes = table(spark, sf_dir, "changes", "id", "old_text", "new_text")
+    found = mojibake.find_garbled(changes, "id", ["old_text", "new_text"])
+    return found.select(F.col("id").alias("change_id"), "field", F.col("restored").alias("text"), "whole")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of changes that look ordinary but hold other characters."""
+    changes = table(spark, sf_dir, "changes", "id", "old_text", "new_text")
+    return confusables.find_lookalikes(changes, "id", ["old_text", "new_text"]).select(F.col("id").alias("change_id"), "field").distinct()
+
+
+def p3_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One consistent form of the texts of all changes."""
+    changes = table(spark, sf_dir, "changes", "id", "old_text", "new_text")
+    return confusables.normalize_fields(changes, "id", ["old_text", "new_text"]).select(F.col("id").alias("change_id"), "field", "text")
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and records of every value and section word of the changes, with marks."""
+    changes = table(spark, sf_dir, "changes", "id", "change_type", "section", "ai_risk_level")
+    columns = {k: termfreq.single(F.col(k)) for k in ("change_type", "section", "ai_risk_level")} | {"section_word": termfreq.pieces(F.col("section"))}
+    return termfreq.term_frequencies(changes, "id", columns).withColumnRenamed("term", "value")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that are too rare or too common."""
+    return p4_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "value", "mark")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found)}
+
+_TERMS = """
+WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
+term AS (
+  SELECT 'change_type' AS field, id, change_type AS value FROM one UNION ALL SELECT 'section', id, section FROM one
+  UNION ALL SELECT 'ai_risk_level', id, ai_risk_level FROM one
+  UNION ALL SELECT 'section_word', id, unnest(list_filter(string_split(section, ' '), lambda x: x <> '')) FROM one),
+total AS (
+  SELECT 'change_type' AS field, count(DISTINCT id) AS n FROM one WHERE change_type IS NOT NULL UNION ALL SELECT 'section', count(DISTINCT id) FROM one WHERE section IS NOT NULL
+  UNION ALL SELECT 'ai_risk_level', count(DISTINCT id) FROM one WHERE ai_risk_level IS NOT NULL UNION ALL SELECT 'section_word', count(DISTINCT id) FROM one WHERE section IS NOT NULL),
+counted AS (SELECT field, value, count(*) AS occurrences, count(DISTINCT id) AS records FROM term WHERE value IS NOT NULL GROUP BY ALL)
+SELECT field, value, occurrences, records, records / n AS share,
+  CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * n THEN 'common' END AS mark FROM counted JOIN total USING (field)
+"""
+ORACLES: dict[str, str] = {
+    "p4_terms": _TERMS,
+    "p4_found": f"SELECT field, value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
+}
