@@ -187,16 +187,18 @@ def learn(texts: DataFrame, least: int = 2) -> tuple[list[str], set[str], dict[s
         .groupBy("a").agg(F.sum("count").alias("n")).select(F.lit("char").alias("what"), "a", F.lit("").alias("b"), "n")
     )
     both = learned.unionByName(clean_chars)
-    lost = both.where("what = 'lost' and length(a) <= 60").orderBy(F.desc("n"), "a").limit(20_000)
+    lost = both.where("what = 'lost' and length(a) <= 60").orderBy(F.desc("n"), "a", "b").limit(20_000)
     readings, chars, restored = [], set(), {}
     for r in both.where(F.col("what") != "lost").where(F.col("n") >= least).unionByName(lost).collect():
         if r.what == "reading":
             readings.append((r.n, r.a))
         elif r.what == "char":
             chars.add(r.a)
-        elif restored.get(r.a, r.b) == r.b:
-            restored[r.a] = r.b
-    return [r for _, r in sorted(readings, reverse=True)], chars, restored
+        else:
+            restored.setdefault(r.a, r.b)
+    ranked = [r for _, r in sorted(readings, reverse=True)]
+    # The twin of a lost character may itself be garbled in another way.
+    return ranked, chars, {a: x for a, b in restored.items() if not suspect(x := repair(b, ranked, chars)) or x == b}
 
 
 #: Scripts whose characters are too many for each to be seen in clean text.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimp.llm import confusables, mojibake, neardup, termfreq
+from palimp.llm import confusables, leakage, mojibake, neardup, termfreq
 from palimp.runtime import table
 
 
@@ -52,7 +52,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "value", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with the test items it has 12 consecutive words of."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    items = table(spark, sf_dir, "eval_items", "item_id", "text")
+    return leakage.find_leaks(documents, "doc_id", "text", items, "item_id", "text").select(F.col("id").alias("doc_id"), "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p8_found)}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
