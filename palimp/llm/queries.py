@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimp.llm import confusables, leakage, mojibake, neardup, termfreq
+from palimp.llm import confusables, leakage, mojibake, neardup, sentences, termfreq
 from palimp.runtime import table
 
 
@@ -59,7 +59,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(documents, "doc_id", "text", items, "item_id", "text").select(F.col("id").alias("doc_id"), "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p8_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence of the running text of every article begins."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return sentences.split_sentences(documents, "doc_id", "text", with_text=False).select(F.col("id").alias("doc_id"), "start_pos")
+
+
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every article."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return sentences.split_sentences(documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p8_found, p9_found, p9_sentences)}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
