@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimp.llm import confusables, leakage, mojibake, neardup, sentences, termfreq
+from palimp.llm import confusables, leakage, mojibake, neardup, packing, sentences, termfreq
 from palimp.runtime import table
 
 
@@ -52,6 +52,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "value", "mark")
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assignment of all articles to containers of each capacity."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    packed = packing.pack(packing.token_counts(documents, "doc_id", "text"), table(spark, sf_dir, "pack_sizes"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each capacity are used."""
+    return packing.fill(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article with the test items it has 12 consecutive words of."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -71,7 +83,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p8_found, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p7_packing, p7_fill, p8_found, p9_found, p9_sentences)}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
