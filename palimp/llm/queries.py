@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimp.llm import confusables, leakage, mojibake, neardup, packing, sentences, termfreq
+from palimp.llm import confusables, leakage, mojibake, neardup, packing, pii, sentences, termfreq
 from palimp.runtime import table
 
 
@@ -52,6 +52,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "value", "mark")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of personal information in each text field of the changes."""
+    changes = table(spark, sf_dir, "changes", "id", "reviewer_comment", "old_text", "new_text")
+    found = pii.find_personal(changes, "id", ["reviewer_comment", "old_text", "new_text"], redact=False)
+    return found.select(F.col("id").alias("change_id"), "field", F.explode("kinds").alias("kind")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those fields with a typed placeholder in each such place."""
+    changes = table(spark, sf_dir, "changes", "id", "reviewer_comment", "old_text", "new_text")
+    found = pii.find_personal(changes, "id", ["reviewer_comment", "old_text", "new_text"])
+    return found.select(F.col("id").alias("change_id"), "field", "kinds", "text").distinct()
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An assignment of all articles to containers of each capacity."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -83,7 +97,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p7_packing, p7_fill, p8_found, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p5_found, p5_redacted, p7_packing, p7_fill, p8_found, p9_found, p9_sentences)}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
