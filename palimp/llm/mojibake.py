@@ -122,7 +122,7 @@ def suspect(text: str) -> bool:
     return LOST in text or any(p.search(text) for p in SEQUENCES.values())
 
 
-_WINDOW = r"(?:[^\s]+ )?[^\s\x00-\x7F]*[^\s]*[^\x00-\x7F\s][^\s]*(?: [^\s]+)?"
+_WINDOW = r"(?<![^ \n])(?:[^ \n]+ )?[^ \n]*[^\x00-\x7F][^ \n]*(?: [^ \n]+)?"
 
 
 def _stripped(c: Column) -> Column:
@@ -131,25 +131,24 @@ def _stripped(c: Column) -> Column:
 
 def windows(texts: DataFrame) -> DataFrame:
     """skeleton, text and count of word windows (digits masked) and of sentences around non-ASCII characters."""
-    t = texts.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    near = t.select(F.explode(F.regexp_extract_all("text", F.lit(_WINDOW), F.lit(0))).alias("text"))
-    near = near.select(F.regexp_replace("text", r"[0-9]+", "0").alias("text"))
-    near = near.groupBy("text").count().select(_stripped(F.col("text")).alias("skeleton"), "text", "count").where(F.regexp_count("skeleton", F.lit("[A-Za-z]")) >= 4)
+    odd = F.col("text").rlike(r"[^\x00-\x7F]")
+    near = F.transform(F.regexp_extract_all("text", F.lit(_WINDOW), F.lit(0)), lambda w: F.regexp_replace(w, r"[0-9]+", "0"))
     # Sentences have few letters left in scripts other than Latin; their numbers and codes tell them apart.
-    whole = t.where(F.col("text").rlike(r"[^\x00-\x7F]{3}")).select(F.explode(F.split("text", r"\n|(?<=[.;!?])\s+")).alias("text"))
-    whole = whole.where(F.col("text").rlike(r"[^\x00-\x7F]{3}")).groupBy("text").count()
-    whole = whole.select(F.concat(F.lit("\1"), _stripped(F.col("text"))).alias("skeleton"), "text", "count").where(F.regexp_count("skeleton", F.lit("[A-Za-z0-9]")) >= 7)
-    return near.unionByName(whole)
+    whole = F.filter(F.split("text", r"\n|(?<=[.;!?])\s+"), lambda s: s.rlike(r"[^\x00-\x7F]{3}"))
+    whole = F.when(F.col("text").rlike(r"[^\x00-\x7F]{3}"), F.transform(whole, lambda s: F.concat(F.lit("\1"), s))).otherwise(F.array().cast("array<string>"))
+    each = texts.where(odd).select(F.explode(F.concat(near, whole)).alias("text")).groupBy("text").count()
+    kept = each.select(_stripped(F.col("text")).alias("skeleton"), "text", "count")
+    is_whole = F.col("text").startswith("\1")
+    enough = F.when(is_whole, F.regexp_count("skeleton", F.lit("[A-Za-z0-9]")) >= 7).otherwise(F.regexp_count("skeleton", F.lit("[A-Za-z]")) >= 4)
+    return kept.where(enough).withColumn("text", F.ltrim("text", F.lit("\1")))
 
 
 def _flag_suspects(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([suspect(t) for t in b["text"].to_pylist()])], [*b.schema.names, "suspect"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([not t.isascii() and suspect(t) for t in b["text"].to_pylist()])], [*b.schema.names, "suspect"])
 
-    # Where no two non-ASCII characters meet there is nothing to decode.
-    sure = rows.where(~F.col("text").rlike(GATE)).withColumn("suspect", F.lit(False))
-    return sure.unionByName(rows.where(F.col("text").rlike(GATE)).mapInArrow(run, "skeleton string, text string, count long, suspect boolean"))
+    return rows.mapInArrow(run, "skeleton string, text string, count long, suspect boolean")
 
 
 def learn(texts: DataFrame, least: int = 2) -> tuple[list[str], set[str], dict[str, str]]:
