@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _WORDS, _DIGITS = re.compile(r"\w+|[^\w\s]"), re.compile(r"\d")
 
@@ -104,11 +105,12 @@ def match_vectors(old: DataFrame, new: DataFrame, group: str, threshold: float)
     that ties don't depend on the order of summation.
     """
 
-    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        a, b = (t.filter(pa.compute.is_valid(t["vector"])).sort_by("ord") for t in (a, b))
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.filter(pa.compute.is_valid(t["vector"])).sort_by("ord")
+        a, b = (t.filter(pa.compute.equal(t["side"], k)) for k in (0, 1))
         found: list[tuple[int, int, float]] = []
         if a.num_rows and b.num_rows:
-            x, y = (np.array(t["vector"].to_pylist(), float) for t in (a, b))
+            x, y = (np.array(s["vector"].to_pylist(), float) for s in (a, b))
             with np.errstate(invalid="ignore", divide="ignore"):
                 s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
             found = greedy_match(np.round(s, 9), threshold)
@@ -122,4 +124,5 @@ def match_vectors(old: DataFrame, new: DataFrame, group: str, threshold: float)
         )
 
     kind = old.schema[group].dataType.simpleString()
-    return old.groupBy(group).cogroup(new.groupBy(group)).applyInArrow(run, f"{group} {kind}, i long, j long, score double, match_rank int")
+    flagged = [d.select(group, "ord", "vector", F.lit(k).alias("side")) for k, d in enumerate((old, new))]
+    return flagged[0].unionByName(flagged[1]).groupBy(group).applyInArrow(run, f"{group} {kind}, i long, j long, score double, match_rank int")
