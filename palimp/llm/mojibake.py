@@ -130,7 +130,10 @@ def _stripped(c: Column) -> Column:
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """skeleton, text and count of word windows (digits masked) and of sentences around non-ASCII characters."""
+    """skeleton, text and count of word windows (digits masked) and of sentences around non-ASCII characters.
+
+    The skeleton is null where too little of it is left to tell twins by.
+    """
     odd = F.col("text").rlike(r"[^\x00-\x7F]")
     near = F.transform(F.regexp_extract_all("text", F.lit(_WINDOW), F.lit(0)), lambda w: F.regexp_replace(w, r"[0-9]+", "0"))
     # Sentences have few letters left in scripts other than Latin; their numbers and codes tell them apart.
@@ -140,7 +143,7 @@ def windows(texts: DataFrame) -> DataFrame:
     kept = each.select(_stripped(F.col("text")).alias("skeleton"), "text", "count")
     is_whole = F.col("text").startswith("\1")
     enough = F.when(is_whole, F.regexp_count("skeleton", F.lit("[A-Za-z0-9]")) >= 7).otherwise(F.regexp_count("skeleton", F.lit("[A-Za-z]")) >= 4)
-    return kept.where(enough).withColumn("text", F.ltrim("text", F.lit("\1")))
+    return kept.select(F.when(enough, F.col("skeleton")).alias("skeleton"), F.ltrim("text", F.lit("\1")).alias("text"), "count")
 
 
 def _flag_suspects(rows: DataFrame) -> DataFrame:
@@ -160,7 +163,7 @@ def learn(texts: DataFrame, least: int = 2) -> tuple[list[str], set[str], dict[s
     the 20,000 most frequent (others are found all the same, but not restored).
     """
     rows = checkpoint(_flag_suspects(windows(texts)))
-    twins = rows.groupBy("skeleton").agg(F.max_by("text", F.struct(~F.col("suspect"), "count")).alias("clean"), F.max(F.col("suspect")).alias("any"))
+    twins = rows.where(F.col("skeleton").isNotNull()).groupBy("skeleton").agg(F.max_by("text", F.struct(~F.col("suspect"), "count")).alias("clean"), F.max(F.col("suspect")).alias("any"))
     pairs = rows.where("suspect").join(twins.where("any"), "skeleton").where(F.col("text") != F.col("clean")).select("text", "clean", "count")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimp.llm.words import grams, mix, slices, text_buffer, words
+from palimp.runtime import checkpoint
 
 #: Bits of a shingle's hash that are kept in a set.
 _SET_BITS = 48
@@ -47,14 +48,14 @@ class Banding:
         return self.rows * (self.a + self.b)
 
     @classmethod
-    def of(cls, threshold: float, miss: float = 0.012) -> Banding:
+    def of(cls, threshold: float, miss: float = 0.006) -> Banding:
         """Tuples so long that a pair at the threshold shares one with about 0.36, and
-        so many that either collection misses such a pair with at most ``miss``
-        (B with half of it). Candidates need so many equal minhash bytes that a
-        pair at the threshold fails with less than 0.001 (four deviations below)."""
+        so many that either collection misses such a pair with at most ``miss``.
+        Candidates need so many equal minhash bytes that a pair at the threshold
+        fails with less than 0.001 (3.6 deviations below)."""
         rows = max(1, round(math.log(0.36) / math.log(threshold)))
         hit = threshold**rows
-        a, b = (math.ceil(math.log(m) / math.log(1 - hit)) for m in (miss, miss / 2))
+        a = b = math.ceil(math.log(miss) / math.log(1 - hit))
         n = rows * (a + b)
         return cls(rows, a, b, max(1, math.floor(n * threshold - 3.6 * math.sqrt(n * threshold * (1 - threshold)))))
 
@@ -161,8 +162,12 @@ def fingerprinted(df: DataFrame, id_col: str, fields: list[str], size: int, leas
 
 
 def _routed(df: DataFrame, fields: list[str], size: int, least_words: int, banding: Banding, hot: np.ndarray) -> DataFrame:
-    """One row per A tuple: key, fp, table (-1, or the B tuple of a hot bucket's row), sketch."""
+    """One row per A tuple: key, fp and the minhash bytes in longs.
+
+    A row of a hot A bucket comes once per B tuple instead, under the pair's key.
+    """
     names = [f"_t{k}" for k in range(len(fields))]
+    longs = -(-banding.hashes // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, offsets, shingles in _records(batches, names, size, least_words):
@@ -174,20 +179,21 @@ def _routed(df: DataFrame, fields: list[str], size: int, least_words: int, bandi
                 sizes, shingles = np.diff(offsets)[keep], shingles[np.repeat(keep, np.diff(offsets))]
                 fp, offsets = fp[keep], np.concatenate([[0], np.cumsum(sizes)])
             sketch = _sketch(offsets, shingles, banding)
-            low = np.ascontiguousarray((sketch >> np.uint64(40)).astype(np.uint8).T)
+            low = np.zeros((len(fp), 8 * longs), np.uint8)
+            low[:, : banding.hashes] = (sketch >> np.uint64(40)).astype(np.uint8).T
+            packed = low.view("<i8")
             for i in range(banding.a):
                 key = a_keys(sketch, banding, i)
                 is_hot = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
                 for j in [-1, *(range(banding.b) if is_hot.any() else ())]:
                     of = np.flatnonzero(~is_hot if j < 0 else is_hot)
                     k = key[of] if j < 0 else mix(key[of] + b_codes(low[of], banding, j))
-                    n = len(of)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.view(np.int64)), pa.array(fp[of].view(np.int64)), pa.array(np.full(n, j, np.int32)), _rows(np.arange(n + 1), low[of], banding.hashes)],
-                        ["key", "fp", "b", "sketch"],
+                        [pa.array(k.view(np.int64)), pa.array(fp[of].view(np.int64)), *(pa.array(np.ascontiguousarray(packed[of, c])) for c in range(longs))],
+                        ["key", "fp", *(f"s{c}" for c in range(longs))],
                     )
 
-    return df.mapInArrow(run, "key long, fp long, b int, sketch binary")
+    return df.mapInArrow(run, "key long, fp long, " + ", ".join(f"s{c} long" for c in range(longs)))
 
 
 def a_keys(sketch: np.ndarray, banding: Banding, i: int) -> np.ndarray:
@@ -234,19 +240,14 @@ def _bucket_pairs(banding: Banding):
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        key, fp, b = (t[c].to_numpy() for c in ("key", "fp", "b"))
-        raw, _ = text_buffer(pa.chunked_array([c.cast(pa.large_binary()).view(pa.large_string()) for c in t["sketch"].chunks]))
-        low = raw.reshape(-1, banding.hashes)
+        key, fp = (t[c].to_numpy() for c in ("key", "fp"))
+        low = np.stack([t[c].to_numpy() for c in t.column_names[2:]], 1).view(np.uint8)
         del parts, t
         key = key.view(np.uint64)
         found = []
-        for j in range(-1, banding.b):  # -1: rows of hot buckets, whose key has its B tuple
-            of = np.flatnonzero(b >= 0) if j < 0 else np.flatnonzero(b < 0)
-            if not len(of):
-                continue
-            pair_key = key[of] if j < 0 else key[of] + b_codes(low[of], banding, j)
+        for j in range(banding.b):
+            pair_key = key + b_codes(low, banding, j)
             for x, y in run_pairs(pair_key, np.argsort(pair_key, kind="stable")):
-                x, y = of[x], of[y]
                 differ = fp[x] != fp[y]
                 x, y = x[differ], y[differ]
                 equal = np.zeros(len(x), np.int16)
@@ -337,3 +338,50 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], threshol
     linked = pairs.join(one, "fp_1").join(two, "fp_2").select("x", "y")
     copies = one.join(two, F.col("fp_1") == F.col("fp_2")).where("x < y").select("x", "y")
     return linked.unionByName(copies).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"))
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """node and component (its least node) of every node of the edges (a, b), by alternating stars.
+
+    Each round links the neighbours of every node to the least of them; lineage is
+    cut by a checkpoint, and only a count and a sum come to the driver. The number
+    of rounds grows with the logarithm of the longest chain.
+    """
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    e = checkpoint(e)
+    seen = None
+    for _ in range(most_rounds):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a"), F.least("a", "_b").alias("m"))
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
+        e = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        e = checkpoint(e)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("the components did not settle")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, size: int = 5, least_words: int = 0, **options) -> DataFrame:
+    """id, class_id and links of every record that takes part, one row each.
+
+    A class is a connected component of similar sets; ``class_id`` is the least
+    fingerprint of it, and ``links`` the number of other records that are
+    at least ``threshold`` similar to the record itself, copies included. Copies
+    are never expanded into pairs. Other cases as in :func:`similar_sets`.
+    """
+    pairs, members = similar_sets(df, id_col, fields, threshold, size, least_words, **options)
+    pairs = checkpoint(pairs.select("fp_1", "fp_2"))
+    sizes = members.groupBy("fp").agg(F.count("*").alias("_n"))
+    both = pairs.unionByName(pairs.select(F.col("fp_2").alias("fp_1"), F.col("fp_1").alias("fp_2")))
+    linked = both.join(sizes.select(F.col("fp").alias("fp_2"), "_n"), "fp_2").groupBy(F.col("fp_1").alias("fp")).agg(F.sum("_n").alias("_others"))
+    classes = components(pairs.select(F.col("fp_1").alias("a"), F.col("fp_2").alias("b")))
+    # The class of a set is found once per set, not per copy.
+    of_set = sizes.join(linked, "fp", "left").join(classes.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    of_set = of_set.select("fp", F.coalesce("component", "fp").alias("class_id"), (F.col("_n") - 1 + F.coalesce("_others", F.lit(0))).alias("links"))
+    return members.join(of_set, "fp").select("id", "class_id", "links")

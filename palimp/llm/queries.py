@@ -16,6 +16,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_1").alias("change_id_1"), F.col("id_2").alias("change_id_2"))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every change with enough words: groups of nearly the same passages."""
+    changes = table(spark, sf_dir, "changes", "id", "old_text", "new_text")
+    groups = neardup.near_duplicate_groups(changes, "id", ["old_text", "new_text"], threshold=0.6, size=3, least_words=20)
+    return groups.withColumnRenamed("id", "change_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of changes that were read with another encoding than they were written in."""
     return p2_restored(spark, sf_dir).select("change_id", "field").distinct()
@@ -97,7 +104,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p5_found, p5_redacted, p7_packing, p7_fill, p8_found, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p5_found, p5_redacted, p7_packing, p7_fill, p8_found, p9_found, p9_sentences)}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
