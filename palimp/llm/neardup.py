@@ -1,11 +1,11 @@
 """Near-duplicate records by tensored banding of minhashes.
 
-Each record is the set of word shingles of its text fields. Two small
-collections of minhash tuples are computed per record, A with ``a`` tuples and
-B with ``b``; table (i, j) has the pair (A_i, B_j) as key, so a*b tables cost
-only a + b tuples. A record is routed once per A tuple, and the task that holds
-an A bucket forms the pair keys with all B tuples, so no record is shuffled a*b
-times. An A bucket expected to hold more than ``hot_rows`` records is routed by
+Each record is the set of word shingles of its text fields. A small collection A
+of ``a`` minhash tuples and a further one of ``b`` are computed per record; a
+table's key is a pair of a tuple of A with another tuple of either collection,
+so some a * (a + b - 1) tables cost only a + b tuples. A record is routed once
+per A tuple, and the task that holds an A bucket forms the pair keys with all
+other tuples, so no record is shuffled once per table. An A bucket expected to hold more than ``hot_rows`` records is routed by
 its pair keys instead; the tables are the same, only spread further. Candidates
 are tested against the minhash bytes of both records and then verified with
 the exact similarity of their shingle sets.
@@ -29,7 +29,9 @@ from palimp.llm.words import grams, mix, slices, text_buffer, words
 from palimp.runtime import checkpoint
 
 #: Bits of a shingle's hash that are kept in a set.
-_SET_BITS = 48
+_SET_BITS = 40
+#: Records that are made into sets at once; their number stands above the hash's bits.
+_SLICE_RECORDS = 1 << 20
 #: Pairs that are compared at once.
 _PAIRS = 1 << 18
 
@@ -57,6 +59,7 @@ class Banding:
         hit = threshold**rows
         a = b = math.ceil(math.log(miss) / math.log(1 - hit))
         n = rows * (a + b)
+        assert a < 31
         return cls(rows, a, b, max(1, math.floor(n * threshold - 3.6 * math.sqrt(n * threshold * (1 - threshold)))))
 
 
@@ -104,8 +107,8 @@ def _records(batches: Iterator[pa.RecordBatch], fields: list[str], size: int, le
         lengths = sum(np.diff(text_buffer(batch[f])[1]) for f in fields)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         for lo, hi in slices(ends):
-            for at in range(lo, hi, 1 << (63 - _SET_BITS)):
-                part = batch.slice(at, min(hi, at + (1 << (63 - _SET_BITS))) - at)
+            for at in range(lo, hi, _SLICE_RECORDS):
+                part = batch.slice(at, min(hi, at + (_SLICE_RECORDS)) - at)
                 offsets, shingles, count = shingle_sets([part[f] for f in fields], size)
                 keep = np.flatnonzero((count >= least_words) & (np.diff(offsets) > 0))
                 if not len(keep):
@@ -124,7 +127,7 @@ def _rows(offsets: np.ndarray, data: np.ndarray, width: int) -> pa.Array:
 
 
 def _packed(shingles: np.ndarray) -> np.ndarray:
-    """The low 48 bits of each hash as six bytes."""
+    """The kept bits of each hash as bytes."""
     return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _SET_BITS // 8])
 
 
@@ -185,9 +188,9 @@ def _routed(df: DataFrame, fields: list[str], size: int, least_words: int, bandi
             for i in range(banding.a):
                 key = a_keys(sketch, banding, i)
                 is_hot = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
-                for j in [-1, *(range(banding.b) if is_hot.any() else ())]:
+                for j in [-1, *(j for j in range(banding.a + banding.b) if j != i and is_hot.any())]:
                     of = np.flatnonzero(~is_hot if j < 0 else is_hot)
-                    k = key[of] if j < 0 else mix(key[of] + b_codes(low[of], banding, j))
+                    k = key[of] if j < 0 else (mix(key[of] + codes(low[of], banding, j)) | _OWN)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(k.view(np.int64)), pa.array(fp[of].view(np.int64)), *(pa.array(np.ascontiguousarray(packed[of, c])) for c in range(longs))],
                         ["key", "fp", *(f"s{c}" for c in range(longs))],
@@ -196,20 +199,23 @@ def _routed(df: DataFrame, fields: list[str], size: int, least_words: int, bandi
     return df.mapInArrow(run, "key long, fp long, " + ", ".join(f"s{c} long" for c in range(longs)))
 
 
+#: The low bits of a key that say which tuple it is made of; all set where it is made of a pair.
+_OWN = np.uint64(31)
+
+
 def a_keys(sketch: np.ndarray, banding: Banding, i: int) -> np.ndarray:
     """The key of tuple i of the first collection."""
     key = np.full(sketch.shape[1], i + 1, np.uint64)
     for r in range(banding.rows):
         key = mix(key + sketch[i * banding.rows + r])
-    return key
+    return (key & ~_OWN) | np.uint64(i)
 
 
-def b_codes(low: np.ndarray, banding: Banding, j: int) -> np.ndarray:
-    """Tuple j of the second collection, from the minhash bytes."""
-    at = (banding.a + j) * banding.rows
+def codes(low: np.ndarray, banding: Banding, j: int) -> np.ndarray:
+    """Tuple j of both collections, from the minhash bytes."""
     code = np.full(len(low), j + 1, np.uint64)
     for r in range(banding.rows):
-        code = (code << np.uint64(8)) | low[:, at + r].astype(np.uint64)
+        code = (code << np.uint64(8)) | low[:, j * banding.rows + r].astype(np.uint64)
     return mix(code)
 
 
@@ -244,10 +250,13 @@ def _bucket_pairs(banding: Banding):
         low = np.stack([t[c].to_numpy() for c in t.column_names[2:]], 1).view(np.uint8)
         del parts, t
         key = key.view(np.uint64)
+        own = (key & _OWN).astype(np.int64)
         found = []
-        for j in range(banding.b):
-            pair_key = key + b_codes(low, banding, j)
+        for j in range(banding.a + banding.b):
+            of = np.flatnonzero(own != j)
+            pair_key = key[of] + codes(low[of], banding, j)
             for x, y in run_pairs(pair_key, np.argsort(pair_key, kind="stable")):
+                x, y = of[x], of[y]
                 differ = fp[x] != fp[y]
                 x, y = x[differ], y[differ]
                 equal = np.zeros(len(x), np.int16)
@@ -306,7 +315,7 @@ def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float
     Records with a null id, fewer than ``least_words`` words or no shingle (null,
     empty or short texts) take no part. Repeated rows of an id count once. The
     input's other columns are ignored. Sets are told apart by 64-bit fingerprints
-    and shingles by 48-bit hashes.
+    and shingles by 40-bit hashes.
     """
     banding = banding or Banding.of(threshold)
     base = _base(df, id_col, fields)
