@@ -12,6 +12,7 @@ correct text that happens to be decodable stays.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -154,13 +155,13 @@ def _flag_suspects(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "skeleton string, text string, count long, suspect boolean")
 
 
-def learn(texts: DataFrame, least: int = 2) -> tuple[list[str], set[str], dict[str, str]]:
-    """Readings with support, characters of clean text, and restored windows of lost characters.
+def learn(texts: DataFrame, least: int = 2) -> tuple[list[str], set[str], DataFrame]:
+    """Readings with support, characters of clean text, and windows with lost characters beside their twins.
 
-    The results are bounded by the encodings and the characters in use, not by
-    the records: readings are a few chains, characters at most those of Unicode
-    that occur at least ``least`` times, and lost windows are kept for at most
-    the 20,000 most frequent (others are found all the same, but not restored).
+    What comes to the driver is bounded by the encodings and the characters in
+    use, not by the records: readings are a few chains, characters at most those
+    of Unicode that occur at least ``least`` times. The windows (w, clean) stay
+    a table.
     """
     rows = checkpoint(_flag_suspects(windows(texts)))
     twins = rows.where(F.col("skeleton").isNotNull()).groupBy("skeleton").agg(F.max_by("text", F.struct(~F.col("suspect"), "count")).alias("clean"), F.max(F.col("suspect")).alias("any"))
@@ -183,24 +184,19 @@ def learn(texts: DataFrame, least: int = 2) -> tuple[list[str], set[str], dict[s
         keys = list(found)
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([found[k] for k in keys], pa.int64())], ["what", "a", "b", "n"])
 
-    learned = pairs.mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    learned = checkpoint(pairs.mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")))
     clean_chars = (
         rows.where(~F.col("suspect")).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x00-\x7F]"), F.lit(0))).alias("a"), "count")
         .groupBy("a").agg(F.sum("count").alias("n")).select(F.lit("char").alias("what"), "a", F.lit("").alias("b"), "n")
     )
-    both = learned.unionByName(clean_chars)
-    lost = both.where("what = 'lost' and length(a) <= 60").orderBy(F.desc("n"), "a", "b").limit(20_000)
-    readings, chars, restored = [], set(), {}
-    for r in both.where(F.col("what") != "lost").where(F.col("n") >= least).unionByName(lost).collect():
+    readings, chars = [], set()
+    for r in learned.where("what <> 'lost'").unionByName(clean_chars).groupBy("what", "a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect():
         if r.what == "reading":
             readings.append((r.n, r.a))
-        elif r.what == "char":
-            chars.add(r.a)
         else:
-            restored.setdefault(r.a, r.b)
-    ranked = [r for _, r in sorted(readings, reverse=True)]
-    # The twin of a lost character may itself be garbled in another way.
-    return ranked, chars, {a: x for a, b in restored.items() if not suspect(x := repair(b, ranked, chars)) or x == b}
+            chars.add(r.a)
+    lost = learned.where("what = 'lost'").groupBy(F.col("a").alias("w")).agg(F.max_by("b", F.struct("n", "b")).alias("clean"))
+    return [r for _, r in sorted(readings, reverse=True)], chars, lost
 
 
 #: Scripts whose characters are too many for each to be seen in clean text.
@@ -263,37 +259,41 @@ def find_garbled(df: DataFrame, id_col: str, fields: list[str], least: int = 2)
     """
     texts = long_fields(df, id_col, fields)
     readings, chars, lost = learn(texts.select("text"), least)
-    windows_of = regex.compile(_WINDOW)
-
-    def fixed(text: str) -> str:
-        out = _confused_words(repair(text, readings, chars), readings, chars)
-        if LOST in out and lost:
-            def one(m) -> str:
-                w = m.group()
-                if LOST not in w:
-                    return w
-                numbers = regex.findall(r"[0-9]+", w)
-                clean = lost.get(regex.sub(r"[0-9]+", "0", w))
-                if clean is None or clean.count("0") != len(numbers):
-                    return w
-                it = iter(numbers)
-                return regex.sub("0", lambda _: next(it), clean)
-
-            out = windows_of.sub(one, out)
-        return out
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts_, out = b["text"].to_pylist(), []
-            for k, t in enumerate(texts_):
-                f = fixed(t)
+            out = []
+            for k, t in enumerate(b["text"].to_pylist()):
+                f = _confused_words(repair(t, readings, chars), readings, chars)
                 if f != t or LOST in t:
                     out.append((k, f))
             take = pa.array([k for k, _ in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b["id"].take(take), b["field"].take(take), b["text"].take(take), pa.array([f for _, f in out], pa.string()), pa.array([LOST not in f for _, f in out], pa.bool_())],
-                ["id", "field", "text", "restored", "whole"],
-            )
+            yield pa.RecordBatch.from_arrays([b["id"].take(take), b["field"].take(take), b["text"].take(take), pa.array([f for _, f in out], pa.string())], ["id", "field", "text", "restored"])
+
+    found = texts.where(F.col("text").rlike(GATE)).mapInArrow(run, f"id {kind}, field string, text string, restored string")
+    found = checkpoint(found.distinct())
+    hurt = F.contains("restored", F.lit(LOST))
+    # Each text with a lost character gets the twins of its own windows; a text has few.
+    masked = F.transform(F.regexp_extract_all("restored", F.lit(_WINDOW), F.lit(0)), lambda w: F.regexp_replace(w, r"[0-9]+", "0"))
+    own = found.where(hurt).select("*", F.explode(F.array_distinct(F.filter(masked, lambda w: F.contains(w, F.lit(LOST))))).alias("w")).join(lost, "w")
+    own = own.groupBy("id", "field", "text", "restored").agg(F.map_from_entries(F.collect_list(F.struct("w", "clean"))).alias("twins"))
+    window = re.compile(_WINDOW)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, twins in zip(b["restored"].to_pylist(), b["twins"].to_pylist()):
+                twins = {w: repair(c, readings, chars) for w, c in twins}  # a twin may itself be garbled in another way
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.where(F.col("text").rlike(GATE)).mapInArrow(run, f"id {kind}, field string, text string, restored string, whole boolean").distinct()
+                def one(m) -> str:
+                    numbers = iter(re.findall(r"[0-9]+", m.group()))
+                    clean = twins.get(re.sub(r"[0-9]+", "0", m.group()))
+                    return m.group() if clean is None or suspect(clean) else re.sub("0", lambda _: next(numbers, "0"), clean)
+
+                out.append(window.sub(one, text))
+            yield pa.RecordBatch.from_arrays([b["id"], b["field"], b["text"], pa.array(out, pa.string())], ["id", "field", "text", "filled"])
+
+    filled = own.mapInArrow(fill, f"id {kind}, field string, text string, filled string")
+    best = found.join(filled, ["id", "field", "text"], "left").withColumn("restored", F.coalesce("filled", "restored"))
+    return best.select("id", "field", "text", "restored", (~hurt).alias("whole"))

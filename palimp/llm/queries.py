@@ -119,7 +119,37 @@ counted AS (SELECT field, value, count(*) AS occurrences, count(DISTINCT id) AS
 SELECT field, value, occurrences, records, records / n AS share,
   CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * n THEN 'common' END AS mark FROM counted JOIN total USING (field)
 """
+# Of all pairs with a triple in common: the exact similarity.
+_P1 = """
+WITH one AS (SELECT DISTINCT id, coalesce(old_text, '') AS a, coalesce(new_text, '') AS b FROM changes WHERE id IS NOT NULL),
+words AS (SELECT id, regexp_extract_all(translate(a, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS a,
+  regexp_extract_all(translate(b, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS b FROM one),
+able AS (SELECT * FROM words WHERE len(a) + len(b) >= 20),
+triple AS (SELECT DISTINCT id, g FROM (
+  SELECT id, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS g FROM able
+  UNION ALL SELECT id, unnest(list_transform(range(1, len(b) - 1), lambda i: b[i] || ' ' || b[i + 1] || ' ' || b[i + 2])) FROM able)),
+size AS (SELECT id, count(*) AS n FROM triple GROUP BY id),
+pair AS (SELECT x.id AS i, y.id AS j, count(*) AS c FROM triple x JOIN triple y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
+SELECT i AS change_id_1, j AS change_id_2 FROM pair JOIN size s ON s.id = i JOIN size t ON t.id = j WHERE c >= 0.6 * (s.n + t.n - c) - 1e-9
+"""
+_FORMS = "[！-～ﬀ-ﬆﬓ-ﬗĲĳℂℇℊ-ℓℕℙ-ℝℤℨℬℭℯ-ℱℳ-ℴℼ-ℿⅅ-ⅉ\\x{1D400}-\\x{1D7FF}]"
+_MIXED = "|".join(f"\\p{{{s}}}\\p{{L}}*[{''.join(f'\\p{{{o}}}' for o in ('Latin', 'Greek', 'Cyrillic', 'Armenian') if o != s)}]" for s in ("Latin", "Greek", "Cyrillic", "Armenian"))
+_P3 = f"""
+WITH field AS (SELECT DISTINCT id AS change_id, 'old_text' AS field, old_text AS t FROM changes UNION SELECT id, 'new_text', new_text FROM changes)
+SELECT DISTINCT change_id, field FROM field WHERE change_id IS NOT NULL AND (regexp_matches(t, '{_FORMS}') OR regexp_matches(t, '\\p{{M}}|\\p{{Cf}}')
+  OR regexp_matches(replace(t, ' ', ''), '\\p{{Zs}}') OR regexp_matches(t, '{_MIXED}'))
+"""
+_P8 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\\\[A-Za-z]+', ' ', 'g')), '[a-z0-9]+') AS x FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\\\\[A-Za-z]+', ' ', 'g')), '[a-z0-9]+') AS x FROM eval_items),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(x) - 10), lambda i: array_to_string(x[i:i + 11], ' '))) AS g FROM d),
+ew AS (SELECT item_id, unnest(list_transform(range(1, len(x) - 10), lambda i: array_to_string(x[i:i + 11], ' '))) AS g FROM e)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
+"""
 ORACLES: dict[str, str] = {
+    "p1_found": _P1,
+    "p3_found": _P3,
+    "p8_found": _P8,
     "p4_terms": _TERMS,
     "p4_found": f"SELECT field, value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
 }
