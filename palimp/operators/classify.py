@@ -71,5 +71,15 @@ def ask(pending: DataFrame, classifier: Classifier, attempts: int = 3, batch: in
     return pending.select("change_id", "old_text", "new_text", "already_detected").mapInArrow(run, "raw string")
 
 
-def effective_answer(raw: Column) -> Column:
-    return F.from_json(raw, ANSWER)
+def prompt(items: list[dict]) -> str:
+    """The request for a batch as text: what to do, then one JSON object per item."""
+    lines = [
+        "Each item below is a passage of a document before and after a revision. Name the one kind of change that fits it best:",
+        *(f"* {t}" for t in SEMANTIC_TYPES),
+        "Answer with a JSON array only; its elements have change_id, change_type, reason (a sentence) and confidence (0 to 1).",
+    ]
+    if any(i.get("already_detected") for i in items):
+        lines.append("Where already_detected is given, those changes are known: name only what else changed.")
+    keys = ("change_id", "old_text", "new_text")
+    asked = [{k: i[k] for k in keys} | ({"already_detected": i["already_detected"]} if i.get("already_detected") else {}) for i in items]
+    return "\n".join([*lines, "", "Items:", *(json.dumps(a, ensure_ascii=False) for a in asked)])

@@ -415,6 +415,18 @@ _GREEDY = f"""WITH RECURSIVE {_COS}, walk AS (
 SELECT grp, i, j FROM walk WHERE ok"""
 
 
+@query(f"WITH {_COS} SELECT grp, i, j, round(score, 5) AS score FROM cand WHERE score >= 0.25")
+def q_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of at least 0.25 between the two sides of a group, as expressions; groups are of bounded size."""
+    old, new = _vectors(spark, sf_dir)
+    a = old.select("grp", F.col("ord").alias("i"), F.col("vector").cast("array<double>").alias("a"))
+    b = new.select("grp", F.col("ord").alias("j"), F.col("vector").cast("array<double>").alias("b"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = a.withColumn("na", norm(F.col("a"))).join(b.withColumn("nb", norm(F.col("b"))), "grp").withColumn("score", F.round(dot / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0)), 9))
+    return scored.where("score >= 0.25").select("grp", "i", "j", F.round("score", 5).alias("score"))
+
+
 @query(_GREEDY)
 def q_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-first one-to-one matches of vectors within groups of bounded size."""

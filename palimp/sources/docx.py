@@ -272,4 +272,4 @@ _ARROW = pa.schema(
 
 def read_docx(spark: SparkSession, *paths: str) -> DataFrame:
     """Paragraph rows of Word files; the document is the file's path."""
-    return parse_files(spark.read.format("binaryFile").load(list(paths)).select(F.col("path"), "content"))
+    return parse_files(spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias("path"), "content"))

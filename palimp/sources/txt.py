@@ -25,5 +25,5 @@ def split_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def read_txt(spark: SparkSession, *paths: str) -> DataFrame:
     """Paragraph rows of text files; the document is the file's path."""
-    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return split_texts(files, "path", "value")

@@ -12,7 +12,7 @@ from palimp.sources.txt import split_texts
 def text_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """A stream of paragraph rows of the text files in a folder; each file is taken once."""
     files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    return split_texts(files.select(F.input_file_name().alias("path"), "value"), "path", "value")
+    return split_texts(files.select(F.col("_metadata.file_path").alias("path"), "value"), "path", "value")
 
 
 def latest_changes(changes: DataFrame, delay: str = "30 days") -> DataFrame:
