@@ -8,8 +8,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    On a cluster without a shared file system the package is shipped as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named table of a data folder, pruned to ``columns`` if any are given."""
+    make_importable(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
