@@ -299,7 +299,7 @@ def token_labels(t: Tokens, spans: list[list[tuple[int, int, str]]]) -> np.ndarr
     return out
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, batch: int = 64, rate: float = 0.15, decay: float = 2e-6, seed: int = 3) -> Model:
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5, batch: int = 128, rate: float = 0.2, decay: float = 2e-6, seed: int = 3) -> Model:
     """Maximum-likelihood weights by AdaGrad over batches of sentences; deterministic."""
     model, rng = Model.zero(), np.random.default_rng(seed)
     sums = Model(*(np.full_like(x, 1e-6) for x in vars(model).values()))
