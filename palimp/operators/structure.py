@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimp.functions.text import collapsed, heading_number, heading_rest, is_label, is_synthetic, top_level_numbered
+from palimp.functions.views import two_decimals
 
 REWRITE_THRESHOLD = 0.80
 
@@ -53,7 +54,7 @@ def heading_changed(matches: DataFrame, threshold: float = REWRITE_THRESHOLD) ->
     a, b = F.col("old_heading"), F.col("new_heading")
     numbered = heading_number(a).isNotNull() & heading_number(b).isNotNull()
     real = (collapsed(a) != collapsed(b)) & ~is_synthetic(a) & ~is_synthetic(b) & ~is_label(a) & ~is_label(b) & ~(numbered & (heading_rest(a) == heading_rest(b)))
-    far = F.when(F.col("similarity") < threshold, F.concat(F.lit(" Headings differ substantially (similarity "), F.format_string("%.2f", "similarity"), F.lit("); sections matched on content."))).otherwise("")
+    far = F.when(F.col("similarity") < threshold, F.concat(F.lit(" Headings differ substantially (similarity "), two_decimals(F.col("similarity")), F.lit("); sections matched on content."))).otherwise("")
     reason = F.concat(F.lit("Section heading changed from '"), a, F.lit("' to '"), b, F.lit("'."), far)
     return matches.where(F.col("kind") == "match").where(real).withColumns({"change_type": F.lit("section_heading_changed"), "reason": reason})
 

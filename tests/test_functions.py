@@ -80,3 +80,9 @@ def test_views(spark):
 @pytest.mark.parametrize("kind,risk", [("numeric_change", "High"), ("formatting_only", "Informational"), ("unclassified", "Medium"), ("table_row_added", "Medium")])
 def test_risks(spark, kind, risk):
     assert column(spark, [kind], views.risk_of) == [risk]
+
+
+def test_two_decimals_as_python(spark):
+    values = [0.0, 1.0, 0.125, 0.375, 0.005, 0.015, 2.675, 0.995, 6.999, 7.0] + [k / 1000 for k in range(1, 1000, 3)] + [random.Random(3).random() for _ in range(200)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", views.two_decimals(F.col("v")).alias("t"))
+    assert [r.t for r in df.orderBy("k").collect()] == [f"{v:.2f}" for v in values]
