@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 _WORDS, _DIGITS = re.compile(r"\w+|[^\w\s]"), re.compile(r"\d")
 
+#: Scores that are held at once when the vectors of a group are matched (32 MB).
+BLOCK_SCORES = 1 << 22
 #: Takes texts, gives one vector per text.
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -66,14 +68,18 @@ def greedy_match(scores: np.ndarray, threshold: float) -> list[tuple[int, int, f
     """Best-first one-to-one matches of at least the threshold, in descending score; ties by (row, column)."""
     with np.errstate(invalid="ignore"):
         i, j = np.nonzero(scores >= threshold)
-    order = np.lexsort((j, i, -scores[i, j]))
+    return _best_first(i, j, scores[i, j])
+
+
+def _best_first(i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """The one-to-one matches among candidates, taken by descending score; ties by (row, column)."""
     used_i, used_j, out = set(), set(), []
-    for k in order.tolist():
+    for k in np.lexsort((j, i, -scores)).tolist():
         a, b = int(i[k]), int(j[k])
         if a not in used_i and b not in used_j:
             used_i.add(a)
             used_j.add(b)
-            out.append((a, b, float(scores[a, b])))
+            out.append((a, b, float(scores[k])))
     return out
 
 
@@ -100,7 +106,8 @@ def match_vectors(old: DataFrame, new: DataFrame, group: str, threshold: float)
     """group, i, j, score and rank of the greedy matches of the vectors of each group.
 
     ``old`` and ``new`` have the group, an integer ``ord`` and ``vector``. A group
-    is one comparison: its two sides must fit in a task, as a document does.
+    is one comparison: its two sides and the pairs that reach the threshold must
+    fit in a task, as a document does; the scores are made in blocks of rows.
     Zero and null vectors never match. Scores are rounded to nine decimals, so
     that ties don't depend on the order of summation.
     """
@@ -112,8 +119,14 @@ def match_vectors(old: DataFrame, new: DataFrame, group: str, threshold: float)
         if a.num_rows and b.num_rows:
             x, y = (np.array(s["vector"].to_pylist(), float) for s in (a, b))
             with np.errstate(invalid="ignore", divide="ignore"):
-                s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-            found = greedy_match(np.round(s, 9), threshold)
+                x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+                rows = max(1, BLOCK_SCORES // len(y))
+                parts = []
+                for lo in range(0, len(x), rows):
+                    s = np.round(x[lo : lo + rows] @ y.T, 9)
+                    i, j = np.nonzero(s >= threshold)
+                    parts.append((i + lo, j, s[i, j]))
+            found = _best_first(*map(np.concatenate, zip(*parts)))
         ia, ib = a["ord"].to_pylist(), b["ord"].to_pylist()
         n = len(found)
         return pa.table(

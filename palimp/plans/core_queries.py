@@ -402,8 +402,8 @@ def q_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- matching
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Even and odd vectors in groups of one hundred by id, as the two sides of comparisons."""
-    v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("grp"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    """Even and odd vectors, as the two sides of comparisons; the vectors of a label are a comparison."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("grp"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
     return v.where("ord % 2 = 0"), v.where("ord % 2 = 1")
 
 
@@ -417,7 +417,7 @@ SELECT grp, i, j FROM walk WHERE ok"""
 
 @query(f"WITH {_COS} SELECT grp, i, j, round(score, 5) AS score FROM cand WHERE score >= 0.25")
 def q_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines of at least 0.25 between the two sides of a group, as expressions; groups are of bounded size."""
+    """Cosines of at least 0.25 between the two sides of a group, as expressions: all pairs of a label."""
     old, new = _vectors(spark, sf_dir)
     a = old.select("grp", F.col("ord").alias("i"), F.col("vector").cast("array<double>").alias("a"))
     b = new.select("grp", F.col("ord").alias("j"), F.col("vector").cast("array<double>").alias("b"))
@@ -429,13 +429,13 @@ def q_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GREEDY)
 def q_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best-first one-to-one matches of vectors within groups of bounded size."""
+    """Best-first one-to-one matches of vectors within their label."""
     return matching.match_vectors(*_vectors(spark, sf_dir), "grp", 0.25).select("grp", "i", "j")
 
 
 @query(f"WITH g AS ({_GREEDY}) SELECT vec_id // 100 AS grp, vec_id AS ord, CASE WHEN vec_id % 2 = 0 THEN 'deleted' ELSE 'inserted' END AS kind FROM embeddings WHERE vec_id NOT IN (SELECT i FROM g) AND vec_id NOT IN (SELECT j FROM g)")
 def q_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of either side without a match."""
+    """Vectors of either side without a match within their label."""
     old, new = _vectors(spark, sf_dir)
     m = matching.match_vectors(old, new, "grp", 0.25)
     left = old.join(m.select("grp", F.col("i").alias("ord")), ["grp", "ord"], "left_anti").select("grp", "ord", F.lit("deleted").alias("kind"))
