@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 # The white space that Python's str.strip and str.split know, as a character class of a pattern.
 BLANK = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The zeros of all scripts, as a character class of a pattern.
+ZERO = (
+    r"[\x{30}\x{660}\x{6F0}\x{7C0}\x{966}\x{9E6}\x{A66}\x{AE6}\x{B66}\x{BE6}\x{C66}\x{CE6}\x{D66}\x{DE6}\x{E50}\x{ED0}\x{F20}\x{1040}\x{1090}\x{17E0}\x{1810}"
+    r"\x{1946}\x{19D0}\x{1A80}\x{1A90}\x{1B50}\x{1BB0}\x{1C40}\x{1C50}\x{A620}\x{A8D0}\x{A900}\x{A9D0}\x{A9F0}\x{AA50}\x{ABF0}\x{FF10}\x{104A0}\x{10D30}"
+    r"\x{11066}\x{110F0}\x{11136}\x{111D0}\x{112F0}\x{11450}\x{114D0}\x{11650}\x{116C0}\x{11730}\x{118E0}\x{11950}\x{11C50}\x{11D50}\x{11DA0}\x{11F50}"
+    r"\x{16A60}\x{16AC0}\x{16B50}\x{1D7CE}\x{1D7D8}\x{1D7E2}\x{1D7EC}\x{1D7F6}\x{1E140}\x{1E2F0}\x{1E4F0}\x{1E950}\x{1FBF0}]"
+)
 # Limits of a heading's shape, and the patterns of headings.
 MAX_HEADING_LENGTH, MAX_HEADING_WORDS = 120, 12
 NUMBERED_HEADING = r"(?Ud)^\s*\d+(\.\d+)+\s+\S.*$"
 HEADING_NUMBER = r"(?Ud)^(\d+(?:\.\d+)*)\s+(.*)$"
-SYNTHETIC = r"^Paragraph \d+$"
-HEADER_FOOTER = r"^Page (Header|Footer)(\s\(.+\))?$"
-TEXT_BOX = r"^Text Box \d+(\s\(.+\))?$"
-FOOTNOTE = r"^Footnote \d+(\s\(.+\))?$"
+SYNTHETIC = r"(?Ud)^Paragraph \d+$"
+HEADER_FOOTER = r"(?Ud)^Page (Header|Footer)(\s\(.+\))?$"
+TEXT_BOX = r"(?Ud)^Text Box \d+(\s\(.+\))?$"
+FOOTNOTE = r"(?Ud)^Footnote \d+(\s\(.+\))?$"
 
 
 def strip(c: Column) -> Column:
@@ -72,4 +79,4 @@ def heading_rest(heading: Column) -> Column:
 
 def top_level_numbered(heading: Column) -> Column:
     """Numbered, with nothing but zeros after the first component."""
-    return F.coalesce(heading_number(heading).rlike(r"^\d+(\.0+)*$"), F.lit(False))
+    return F.coalesce(heading_number(heading).rlike(rf"(?Ud)^\d+(\.{ZERO}+)*$"), F.lit(False))

@@ -136,9 +136,9 @@ _NUM, _REST = "nullif(regexp_extract(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', 1)
   regexp_matches(section, '^Page (Header|Footer)(\\s\\(.+\\))?$') OR regexp_matches(section, '^Text Box \\d+(\\s\\(.+\\))?$') OR regexp_matches(section, '^Footnote \\d+(\\s\\(.+\\))?$') AS label
   FROM (SELECT DISTINCT section FROM changes WHERE section IS NOT NULL AND NOT regexp_matches(section, '[^\\x20-\\x7e]'))""")
 def q_heading_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers, rests and labels of the headings written in ASCII."""
+    """Numbers, rests and labels of all headings."""
     h = F.col("section")
-    s = table(spark, sf_dir, "changes", "section").where(h.isNotNull() & ~h.rlike(r"[^\x20-\x7e]")).distinct()
+    s = table(spark, sf_dir, "changes", "section").where(h.isNotNull()).distinct()
     return s.select(h.alias("heading"), text.heading_number(h).alias("number"), text.heading_rest(h).alias("rest"), text.top_level_numbered(h).alias("top_level"), text.is_label(h).alias("label"))
 
 
