@@ -4,9 +4,10 @@ Running text is taken block by block. The terminators of a block form a lattice
 of possible boundaries; each is kept or dropped by what stands around it. In
 scripts with spaces that is the token before it (abbreviation, initial, ordinal,
 plain word), the quotation or bracket it is in, and the token after it. In
-scripts without spaces the text around a gap is segmented by a lattice of
-dictionary words, and the gap is classified through the final particles before
-and the opening words after it.
+scripts without spaces the text around every gap, be it after a terminator or a
+mere blank, is segmented by a lattice of dictionary words, and the gap is
+classified through the final words before and the opening words after it. Text
+with neither a terminator nor a blank has no gap and is not split.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimp.llm.spaceless import CONNECTIVES, CONTINUING, DICTIONARY, ENDING, JOINING, OPENERS, PARTICLES, QUOTING
+
 # Abbreviations that a sentence does not end with, in lower case.
 NEVER_LAST = frozenset(
     """dr prof mr mrs ms mx st rev hon gen col capt lt sgt messrs mme mlle mlles drs hr fr frau dipl ing sr sra srta dña lic
@@ -35,23 +38,20 @@ NEVER_LAST = frozenset(
 MAY_BE_LAST = frozenset("etc u.s u.k u.n e.u u.s.a a.m p.m al ff f jr sr inc ltd co corp bros usw u.s.w etcétera д др г гг в вв н.э т.д т.п т.е к ph.d b.c a.d d.c".split())
 # Names of months after an ordinal number.
 MONTHS = frozenset("Januar Jänner Februar März Maerz April Mai Juni Juli August September Oktober November Dezember Jan Feb Apr Jun Jul Aug Sep Sept Okt Nov Dez M\\\"arz Jahrhundert Jh".split())
-# Words that go on after a quotation in scripts without spaces, and words that open a sentence.
-PARTICLES = frozenset("と って という といった とする とし として との は が を に の も で や へ から まで より など だ です である である。 といい との".split())
-CONTINUING = frozenset("但 但是 而 而且 并 并且 然而 不过 的 地 得 和 与 及 这 等 之 以 所 一 说 道 写道 指出 后 时 为 是 在 来".split())
-FINALS = frozenset("た る だ です ます い う く す つ ぬ ふ む ろ か よ ね ぞ な 了 吗 呢 吧 啊 的 着 过".split())
-OPENERS = frozenset(
-    """この その あの ここで ここ そこで また しかし 図 表 式 全 各 本 なお さらに 次に 例えば ただし したがって 我々 我々は 査読者 温度 粗い 膜 Ver
-    我们 该 这 此 本 如 图 表 全部 所有 样品 温度 审稿人 版本 因此 此外 另外 同时 首先 其次 最后 如果 由于 为了""".split()
-)
-_DICTIONARY = PARTICLES | CONTINUING | FINALS | OPENERS
-_LONGEST = max(map(len, _DICTIONARY))
+_LONGEST = max(map(len, DICTIONARY))
+#: Characters on each side of a gap that the lattice sees.
+_REACH = 16
 
 _BLOCK = re.compile(r"(?:[^\n]*[^\n \t\r][^\n]*\n?)+")
 _OPEN = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "``": "''", "„": "“", "‹": "›", "《": "》", "\\glqq": "\\grqq", "\\og": "\\fg"}
 #: Quotation signs, brackets and terminators; a point inside a number, a name or an address is none.
-_TOKEN = re.compile(r"``|''|\\(?:glqq|grqq|og|fg)(?![a-zA-Z])(?:\{\})?|[“”„«»「」『』《》（）()\[\]‹›]|[.]+(?:[!?]+|(?=[\s)\]'”»“›（）」』]|$|\\grqq|\\fg))|[!?…。！？．؟।॥۔]+[.!?…]*")
+_TOKEN = re.compile(r"``|''|\\(?:glqq|grqq|og|fg)(?![a-zA-Z])(?:\{\})?|[“”„«»「」『』《》（）()\[\]‹›]|[.]+(?:[!?]+|(?=[\s)\]'”»“›（）」』]|$|\\grqq|\\fg))|[!?…。！？．｡។៕။؟।॥۔]+[.!?…]*")
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Khmer}\p{Lao}\p{Myanmar}ー]")
-_WIDE = frozenset("。！？")
+_WIDE = frozenset("。！？．｡។៕။")
+_ENDS = _WIDE | frozenset(".!?…؟।॥۔")
+#: A blank between two characters of scripts without spaces.
+_BLANK_GAP = regex.compile(rf"(?<={_SPACELESS.pattern})\s+(?={_SPACELESS.pattern})")
+_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 #: The sign that closes a span right after a terminator, with the blank French puts before it.
 _CLOSERS = re.compile(r"\s?(?:''|[”“»」』》）)\]›]|\\grqq(?:\{\})?|\\fg(?:\{\})?)")
 _SPACE = re.compile(r"\s*")
@@ -67,7 +67,7 @@ def lattice_words(text: str) -> list[str]:
     for i in range(n):
         for k in range(1, min(_LONGEST, n - i) + 1):
             w = text[i : i + k]
-            c = 1.0 / k if w in _DICTIONARY else (2.0 if k == 1 else 1e9)
+            c = 1.0 / k if w in DICTIONARY else (2.0 if k == 1 else 1e9)
             if cost[i] + c < cost[i + k]:
                 cost[i + k], back[i + k] = cost[i] + c, i
     out = []
@@ -78,15 +78,21 @@ def lattice_words(text: str) -> list[str]:
 
 
 @lru_cache(65536)
-def _goes_on(left: str, right: str) -> bool:
-    """Whether a sentence in a script without spaces goes on after a quoted sentence between the two texts."""
+def _goes_on(right: str, quoted: bool) -> bool:
+    """Whether a sentence in a script without spaces goes on after a terminator, or the quotation it closes, before the text."""
     after = lattice_words(right)
-    if not after or after[0] in OPENERS and after[0] not in CONTINUING:
-        return False
-    if after[0] in PARTICLES or after[0] in CONTINUING:
-        return True
-    before = lattice_words(left)
-    return not (before and before[-1] in FINALS)
+    if not quoted:
+        return after[0] in QUOTING
+    return after[0] in CONTINUING or after[0] in PARTICLES and after[0] not in OPENERS
+
+
+@lru_cache(65536)
+def _blank_ends(left: str, right: str) -> bool:
+    """Whether a blank without a terminator ends a sentence in a script without spaces."""
+    after, before = lattice_words(right)[0], lattice_words(left)[-1]
+    if _CJK.match(right):
+        return before in ENDING and after in CONNECTIVES
+    return after in CONNECTIVES or before in ENDING and after not in JOINING
 
 
 def _spans(block: str, tokens: list) -> list[tuple[int, int]]:
@@ -135,10 +141,10 @@ def _ends(block: str, m, end: int, nxt: int, quoted: bool, led_in: bool, bracket
     begins = _starts_sentence(block, nxt)
     if begins == "empty":
         return False
-    if sign[0] in _WIDE or sign[0] == "．":
-        if quoted and not (bracket and not led_in):
-            return not _goes_on(block[max(0, m.start() - 6) : m.start()], block[nxt : nxt + 6])
-        return True
+    if sign[0] in _WIDE:
+        if sign == "．" and block[nxt].isdigit() and block[m.start() - 1 : m.start()].isdigit():
+            return False
+        return not _goes_on(block[nxt : nxt + _REACH], quoted and not (bracket and not led_in))
     if set(sign) <= {"…"} or sign.startswith("..") or sign.endswith("…"):
         return begins in ("upper", "digit") and end < nxt
     if end == nxt:  # no blank after it: a number, an address or an abbreviation
@@ -174,11 +180,14 @@ def _ends(block: str, m, end: int, nxt: int, quoted: bool, led_in: bool, bracket
 def block_starts(block: str) -> list[int]:
     """Where the sentences of a block begin; the first is 0."""
     tokens = list(_TOKEN.finditer(block))
-    marks = [m for m in tokens if m.group()[0] in ".!?…。！？．؟।॥۔"]
-    if not marks:
+    marks = [m for m in tokens if m.group()[0] in _ENDS]
+    blanks = list(_BLANK_GAP.finditer(block)) if _SPACELESS.search(block) else []
+    if not marks and not blanks:
         return [0]
-    spans = _spans(block, [m for m in tokens if m.group()[0] not in ".!?…。！？．؟।॥۔"])
+    spans = _spans(block, [m for m in tokens if m.group()[0] not in _ENDS])
     closing = {b: a for a, b in spans}
+    if blanks:
+        marks = sorted(marks + blanks, key=lambda m: m.start())
     spans.sort()
     starts = [0]
     k, open_until, within = 0, -1, []
@@ -188,6 +197,10 @@ def block_starts(block: str) -> list[int]:
             within.append(spans[k])
             k += 1
         within = [s for s in within if s[1] > at]
+        if m.group().isspace():
+            if not within and _blank_ends(block[max(0, at - _REACH) : at], block[end : end + _REACH]):
+                starts.append(end)
+            continue
         # The signs that close right after the terminator.
         quoted, led_in, bracket = False, False, False
         inner = {s[1]: s[0] for s in within}
