@@ -142,7 +142,7 @@ def q_heading_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(h.alias("heading"), text.heading_number(h).alias("number"), text.heading_rest(h).alias("rest"), text.top_level_numbered(h).alias("top_level"), text.is_label(h).alias("label"))
 
 
-# ---------------------------------------------------------------- sections of pairs, matched by their wording
+# ---------------------------------------------------------------- sections of pairs; the SQL matches them by their wording or place
 _MATCHED = f"""{_SECTIONS}, {_COMP}, heads AS (
   SELECT document_id, section_idx, heading, {_REST} AS rest, count(*) FILTER (is_body AND NOT from_table) AS n_body,
     count(DISTINCT table_position.table_id) FILTER (is_body AND from_table) AS n_tables, count(*) FILTER (is_body) AS n_all FROM sec GROUP BY document_id, section_idx, heading),
@@ -153,24 +153,9 @@ fulljoin AS (SELECT comparison_id, CASE WHEN o.rest IS NULL THEN 'inserted' WHEN
   FROM o FULL JOIN n USING (comparison_id, rest, k))"""
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of the pairs, the k-th with a wording matched to the k-th with the same; kind as in an alignment."""
-    from pyspark.sql import Window
-
-    in_table = F.coalesce("from_table", F.lit(False))
-    heads = _sectioned(spark, sf_dir).groupBy("document_id", "section_idx", "heading").agg(
-        F.count_if(F.col("is_body") & ~in_table).alias("n_body"), F.count_distinct(F.when(F.col("is_body") & in_table, F.col("table_position.table_id"))).alias("n_tables"), F.count_if("is_body").alias("n_all")
-    )
-    heads = heads.withColumn("rest", text.heading_rest(F.col("heading"))).withColumn("k", F.row_number().over(Window.partitionBy("document_id", "rest").orderBy("section_idx")))
-    pairs = _pairs(spark, sf_dir)
-
-    def of(side: str) -> DataFrame:
-        named = {c: f"{side}_{c}" for c in ("section_idx", "heading", "n_body", "n_tables", "n_all")}
-        return pairs.select("comparison_id", F.col(f"{side}_document_id").alias("document_id")).join(heads, "document_id").select("comparison_id", "rest", "k", *[F.col(a).alias(b) for a, b in named.items()])
-
-    both = of("old").join(of("new"), ["comparison_id", "rest", "k"], "full")
-    kind = F.when(F.col("old_heading").isNull(), "inserted").when(F.col("new_heading").isNull(), "deleted").otherwise("match")
-    return both.select("comparison_id", kind.alias("kind"), F.col("old_section_idx").alias("old_idx"), F.col("new_section_idx").alias("new_idx"), "old_heading", "new_heading", *[F.coalesce(f"old_{c}", f"new_{c}").alias(c) for c in ("n_body", "n_tables", "n_all")])
+def _section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the pairs as the comparison matches them, by similarity."""
+    return _aligned(spark, sf_dir).where(F.col("kind").isin("match", "inserted", "deleted"))
 
 
 _TOP = "coalesce(regexp_matches(regexp_extract({0}, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', 1), '^\\d+(\\.0+)*$'), false)"
@@ -183,7 +168,7 @@ judged AS (SELECT *, s <> 0 AND split_part(b, '.', 1)::long - split_part(a, '.',
 SELECT comparison_id, old_idx, new_idx, CASE WHEN pushed THEN 'section_renumbered_cascade' ELSE 'section_renumbered' END AS change_type,
   'Section renumbered from ''' || a || ''' to ''' || b || '''' || CASE WHEN pushed THEN ' as a side effect of ' || abs(s) || ' section' || CASE WHEN abs(s) = 1 THEN '' ELSE 's' END || CASE WHEN s > 0 THEN ' added' ELSE ' removed' END || ' above it; wording unchanged.' ELSE '.' END AS reason FROM judged""")
 def q_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.renumbered(_matched(spark, sf_dir)).select("comparison_id", "old_idx", "new_idx", "change_type", "reason")
+    return structure.renumbered(_section_rows(spark, sf_dir)).select("comparison_id", "old_idx", "new_idx", "change_type", "reason")
 
 
 _HOLDS = "CASE WHEN n_body + n_tables > 0 THEN concat_ws(', ', CASE WHEN n_body > 0 THEN n_body || ' paragraph' || CASE WHEN n_body = 1 THEN '' ELSE 's' END END, CASE WHEN n_tables > 0 THEN n_tables || ' table' || CASE WHEN n_tables = 1 THEN '' ELSE 's' END END) || '.' WHEN n_all > 0 THEN 'All content moved; see the related move entries.' ELSE 'No content.' END"
@@ -193,7 +178,7 @@ _HOLDS = "CASE WHEN n_body + n_tables > 0 THEN concat_ws(', ', CASE WHEN n_body
   CASE kind WHEN 'inserted' THEN 'New section added: ''' ELSE 'Section deleted: ''' END || coalesce(new_heading, old_heading) || '''. ' || {_HOLDS} AS reason
   FROM fulljoin WHERE kind <> 'match' AND NOT (coalesce(new_heading, old_heading) = 'Preamble' OR regexp_matches(coalesce(new_heading, old_heading), '^Paragraph \\d+$'))""")
 def q_sections_added_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.added_or_deleted(_matched(spark, sf_dir)).select("comparison_id", "old_idx", "new_idx", "change_type", "reason")
+    return structure.added_or_deleted(_section_rows(spark, sf_dir)).select("comparison_id", "old_idx", "new_idx", "change_type", "reason")
 
 
 @query(f"""WITH {_SECTIONS}, {_COMP}, heads AS (SELECT DISTINCT document_id, section_idx, heading FROM sec),
@@ -205,13 +190,7 @@ WHERE regexp_replace(trim(a), '\\s+', ' ', 'g') <> regexp_replace(trim(b), '\\s+
   AND NOT regexp_matches(a, '^(Page (Header|Footer)|Text Box \\d+|Footnote \\d+)(\\s\\(.+\\))?$') AND NOT regexp_matches(b, '^(Page (Header|Footer)|Text Box \\d+|Footnote \\d+)(\\s\\(.+\\))?$')""".replace("""m AS (SELECT comparison_id, section_idx AS idx, o.heading AS a, n.heading AS b FROM comp JOIN heads o ON o.document_id = old_document_id JOIN heads n ON n.document_id = new_document_id AND n.section_idx = o.section_idx),
 """, ""))
 def q_heading_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections at the same place of both documents, taken as matched."""
-    heads = _sectioned(spark, sf_dir).select("document_id", "section_idx", "heading").distinct()
-    old = heads.select(F.col("document_id").alias("old_document_id"), F.col("section_idx").alias("old_idx"), F.col("heading").alias("old_heading"))
-    new = heads.select(F.col("document_id").alias("new_document_id"), F.col("section_idx").alias("new_idx"), F.col("heading").alias("new_heading"))
-    m = _pairs(spark, sf_dir).join(old, "old_document_id").join(new, "new_document_id").where(F.col("old_idx") == F.col("new_idx"))
-    m = m.withColumns({"kind": F.lit("match"), "similarity": F.lit(None).cast("double")})
-    return structure.heading_changed(m).select("comparison_id", "old_idx", "change_type", "reason")
+    return structure.heading_changed(_section_rows(spark, sf_dir)).select("comparison_id", "old_idx", "change_type", "reason")
 
 
 # ---------------------------------------------------------------- tables
