@@ -8,13 +8,15 @@ batches. Tokens whose label no neighbour could change are decided at once -
 their lead exceeds all that transitions can give - which cuts the texts into
 short stretches with the same best sequence as the whole.
 
-The model is trained on the driver from a small labelled table (see
-``pii_table``; its size is the documented bound) by stochastic gradients of the
-log-likelihood, the same for the same table and seed.
+The model is trained from a labelled table (see ``pii_table``; its size is the
+documented bound) by stochastic gradients of the log-likelihood, the same for
+the same table and seed. ``python -m palimp.llm.pii`` trains it and stores it
+beside this module; queries load the stored one.
 """
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +37,8 @@ OFFSETS = (-2, -1, 0, 1, 2)
 #: Sizes of the hashed feature space, per offset and for the features across tokens.
 WORD_BITS, CROSS_BITS = 15, 15
 _WORD_SLOTS, _CROSS_SLOTS = 6, 4
+#: The slots that tell a word's spelling; bucket 0 is that of no spelling.
+_SPELLING = (0, 2, 3, 4)
 #: Characters that are held as arrays at once.
 SLICE_CHARS = 1 << 19
 
@@ -299,8 +303,12 @@ def token_labels(t: Tokens, spans: list[list[tuple[int, int, str]]]) -> np.ndarr
     return out
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5, batch: int = 128, rate: float = 0.2, decay: float = 2e-6, seed: int = 3) -> Model:
-    """Maximum-likelihood weights by AdaGrad over batches of sentences; deterministic."""
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5, batch: int = 128, rate: float = 0.2, decay: float = 2e-6, unseen: float = 0.25, seed: int = 3) -> Model:
+    """Maximum-likelihood weights by AdaGrad over batches of passages; deterministic.
+
+    A share ``unseen`` of a batch's distinct words loses its spelling for that
+    step, as if never met, so that shape and context have to tell them.
+    """
     model, rng = Model.zero(), np.random.default_rng(seed)
     sums = Model(*(np.full_like(x, 1e-6) for x in vars(model).values()))
     for _ in range(epochs):
@@ -309,6 +317,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5, b
             part = [rows[i] for i in order[lo : lo + batch]]
             t = tokenize([x for x, _ in part])
             gold = token_labels(t, [s for _, s in part])
+            t.word[np.ix_(_SPELLING, np.flatnonzero(rng.random(len(t.distinct)) < unseen))] = 0
             delta, trans, start = _gradient(model, t, gold)
             step = lambda w, s, g: (s.__iadd__(g * g), w.__iadd__(rate * g / np.sqrt(s)))
             step(model.transition, sums.transition, trans)
@@ -328,6 +337,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5, b
             for slot in inverse.reshape(cross.shape):
                 g += _summed(slot, delta, len(used))
             _sparse(model.cross, sums.cross, used, g, rate, decay)
+            model.word[:, 0] = 0
     return model
 
 
@@ -388,10 +398,40 @@ def _logsum(a: np.ndarray) -> np.ndarray:
     return np.log(np.exp(a - top).sum(-1)) + top[..., 0]
 
 
-@lru_cache(2)
-def trained(rows: int = 6000, seed: int = 7) -> Model:
-    """The model of the labelled table, trained once a process."""
-    return train(labelled_rows(rows, seed))
+#: The stored weights: 8-bit steps of the largest weight of each array.
+STORED = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_model.npz")
+
+
+def save(model: Model, path: str = STORED) -> None:
+    parts = {}
+    for k, w in vars(model).items():
+        step = float(np.abs(w).max()) / 127 or 1.0
+        parts |= {k: np.round(w / step).astype(np.int8), f"{k}_step": np.float32(step)}
+    np.savez_compressed(path, **parts)
+
+
+def load(path: str = STORED) -> Model:
+    with np.load(path) as f:
+        return Model(*(f[k].astype(np.float32) * f[f"{k}_step"] for k in ("word", "cross", "edge", "transition", "first")))
+
+
+def train_mean(tables: int = 6, rows: int = 24000, seed: int = 7) -> Model:
+    """The mean of the models of ``tables`` labelled tables of ``rows`` passages each.
+
+    The likelihood is concave in the weights, so their mean is a model of all
+    tables that depends less on the chance of one.
+    """
+    mean = Model.zero()
+    for k in range(tables):
+        for m, w in zip(vars(mean).values(), vars(train(labelled_rows(rows, seed + k))).values()):
+            m += w / np.float32(tables)
+    return mean
+
+
+@lru_cache(1)
+def trained() -> Model:
+    """The stored model; where it is missing, one is trained from a single table."""
+    return load() if os.path.exists(STORED) else train(labelled_rows())
 
 
 def spans_of(t: Tokens, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -450,3 +490,7 @@ def find_personal(df: DataFrame, id_col: str, fields: list[str], model: Model |
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, field string, kinds array<string>" + ", text string" * redact)
+
+
+if __name__ == "__main__":
+    save(train_mean())

@@ -4,11 +4,34 @@ import pytest
 from palimp.llm import pii
 from palimp.llm.pii import ALLOWED, ALLOWED_FIRST, KINDS, LABELS, decode, emissions, find_personal, spans_of, token_labels, tokenize, train, viterbi
 from palimp.llm.pii_table import labelled_rows
+from tests.llm.pii_heldout import held_out
 
 
 @pytest.fixture(scope="module")
 def model():
-    return train(labelled_rows(1500), epochs=4)
+    return pii.trained()
+
+
+def test_training_is_repeatable_and_learns(tmp_path):
+    rows = labelled_rows(600)
+    one, two = train(rows, epochs=2), train(labelled_rows(600), epochs=2)
+    assert all(np.array_equal(a, b) for a, b in zip(vars(one).values(), vars(two).values()))
+    t = tokenize([x for x, _ in rows])
+    assert (decode(one, t) == token_labels(t, [s for _, s in rows])).mean() > 0.95
+    pii.save(one, str(tmp_path / "m.npz"))
+    back = pii.load(str(tmp_path / "m.npz"))
+    assert all(np.abs(a - b).max() <= np.abs(a).max() / 250 for a, b in zip(vars(one).values(), vars(back).values()))
+
+
+def test_passages_of_another_hand(model):
+    """The stored model on passages that share no list with the labelled table; the figures are those of the README."""
+    rows = held_out()
+    t = tokenize([x for x, _ in rows])
+    a, b = found(t, decode(model, t)), found(t, token_labels(t, [s for _, s in rows]).astype(np.int8))
+    for k, kind in enumerate(KINDS):
+        x, y = ({of for of, n in s if n == k} for s in (a, b))
+        assert len(x & y) / len(x) >= 0.9, kind
+        assert len(x & y) / len(y) >= (0.65 if kind == "name" else 0.85), kind
 
 
 def found(t, labels):
