@@ -1,7 +1,7 @@
 import pytest
 
 from palimp.operators.matching import greedy_match, longest_increasing, similarity
-from palimp.operators.tables import Grid, diff_columns, diff_merges, diff_rows, structure_changes
+from palimp.operators.tables import Table, col_targets, merge_changes, row_targets, structure_changes
 from palimp.plans.compare import compare
 from palimp.schemas import PARAGRAPHS
 
@@ -64,14 +64,80 @@ def test_tables(new, want):
 
 
 def test_merges_and_spans():
-    a, b = Grid(0), Grid(3)
-    for g, rows in ((a, [["A", "B"], ["c", "d"]]), (b, [[("A", 1, 2), None], ["c", "d"]])):
-        for p in cells(rows):
-            g.cells.setdefault((p["row"], p["col"]), []).append(p)
-    assert b.span(0, 0) == (1, 2) and b.text(0, 1) == "" and a.flat() == "A | B | c | d"
-    merged = diff_merges(a, b, [(0, 0), (1, 1)], [(0, 0), (1, 1)])
+    a, b = Table.of(0, cells([["A", "B"], ["c", "d"]])), Table.of(3, cells([[("A", 1, 2), None], ["c", "d"]]))
+    assert b.span[0, 0].tolist() == [1, 2] and b.text[0, 1] == "" and a.all_text() == "A | B | c | d"
+    assert a.lines(1) == ["A | c", "B | d"] and a.lines(0, np.array([1])) == ["B", "d"]
+    merged = list(merge_changes(a, b, np.array([0, 1]), np.array([0, 1])))
     assert [c["reason"] for c in merged] == ["Table cell at row 1, column 1 changed from spanning 1x1 to 1x2 cells."]
-    assert diff_rows(a, b).aligned and diff_columns(a, b, [(1, 1)]).aligned == [(0, 0), (1, 1)]
+    assert merged[0]["old_position"] == (0, 0, 0) and merged[0]["new_position"] == (3, 0, 0) and merged[0]["section"] == "Table 4"
+    assert (row_targets(a, b) >= 0).any() and col_targets(a, b, np.array([-1, 1])).tolist() == [0, 1]
+    apart = Table.of(1, [*cells([["x", None, "y"]]), {"seq": 9, "text": "z", "table_id": 0, "row": 5, "col": 2, "row_span": 1, "col_span": 1}, {"seq": 10, "text": "more", "table_id": 0, "row": 5, "col": 2, "row_span": 3, "col_span": 1}])
+    assert apart.numbers[0].tolist() == [0, 5] and apart.numbers[1].tolist() == [0, 2] and apart.lines(0) == ["x | y", " | z more"] and apart.span[1, 1].tolist() == [1, 1]
+
+
+def table_changes(old, new, **k):
+    return structure_changes(cells(old), cells(new), **k)
+
+
+def test_cells_of_a_moved_row_are_still_compared():
+    changes, gone, come = table_changes([HEAD, *ROWS], [HEAD, ROWS[1], ROWS[2], ["Assay by titration", "98 percent", "HPLC one"]])
+    assert [c["change_type"] for c in changes] == ["table_row_moved"] and not gone and not come
+    assert changes[0]["reason"] == "Table row moved from position 2 to position 4." and changes[0]["old_position"] == (0, 1, 0) and changes[0]["new_position"] == (0, 3, 0)
+
+
+def test_column_edit_leaves_the_rows_matched():
+    wide = [[*r, x] for r, x in zip([HEAD, *ROWS], ["Limit of the year", "five by ten", "none at all", "two in three"])]
+    changes, gone, come = table_changes([HEAD, *ROWS], wide)
+    assert [(c["change_type"], c["new_text"]) for c in changes] == [("table_column_added", "Limit of the year | five by ten | none at all | two in three")] and len(come) == 4 and not gone
+    changes, gone, come = table_changes(wide, [HEAD, *ROWS])
+    assert [c["change_type"] for c in changes] == ["table_column_deleted"] and len(gone) == 4 and not come
+
+
+def test_row_and_column_at_once():
+    wide = [[*r, x] for r, x in zip([HEAD, *ROWS[:2], ["Colour of powder", "white", "visual check"], ROWS[2]], ["Limit of the year", "five by ten", "none at all", "as agreed", "two in three"])]
+    changes, gone, come = table_changes([HEAD, *ROWS], wide)
+    assert [c["change_type"] for c in changes] == ["table_row_added", "table_column_added"] and len(come) == 4 + 5 - 1
+
+
+def test_tables_match_by_content_and_others_are_left_out():
+    other = [["Name", "Grade"], ["first pupil", "good work"], ["second pupil", "fair work"]]
+    old, new = cells([HEAD, *ROWS]), cells(other) + cells([HEAD, *ROWS[:2]], table_id=1, seq=50)
+    changes, gone, come = structure_changes(old, new)
+    assert [(c["change_type"], c["section"]) for c in changes] == [("table_row_deleted", "Table 2")] and not come
+    assert structure_changes(cells(other), cells([HEAD, *ROWS])) == ([], set(), set())
+    assert structure_changes([], cells(other)) == ([], set(), set()) and structure_changes([], []) == ([], set(), set())
+
+
+def test_no_column_in_common_keeps_the_rows_of_the_first_match():
+    # An embedding that only tells texts apart by their first word makes any case possible.
+    def embed(texts):
+        return np.array([[1.0, 0.0] if t.startswith("k") else [0.0, 1.0] for t in texts])
+
+    changes, _, _ = table_changes([["k a", "k b"]], [["k c", "k d"]], embed=embed)
+    assert changes == []
+    changes, _, _ = table_changes([["k a"], ["x b"]], [["k c"], ["k d"]], embed=embed)
+    assert [c["change_type"] for c in changes] == ["table_row_deleted", "table_row_added"]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_longest_run_against_all_runs(seed):
+    from itertools import combinations
+
+    rng = np.random.default_rng(seed)
+    values = rng.permutation(9).tolist() if seed % 2 else rng.integers(0, 6, 8).tolist()
+    rising = [c for k in range(len(values), 0, -1) for c in combinations(range(len(values)), k) if all(values[a] < values[b] for a, b in zip(c, c[1:]))]
+    longest = [c for c in rising if len(c) == len(rising[0])]
+    # Of the longest: the one that ends first, then has the first place before it, and so on.
+    assert longest_increasing(values) == set(min(longest, key=lambda c: c[::-1]))
+
+
+def test_similarity_in_blocks(monkeypatch):
+    from palimp.operators import matching
+
+    texts = ["Weigh the sample twice", "Weigh a sample", "wholly other words", "", "Weigh the sample"]
+    whole = similarity(texts, texts[::-1])
+    monkeypatch.setattr(matching, "BLOCK_SCORES", 40)
+    assert np.array_equal(whole, similarity(texts, texts[::-1]), equal_nan=True)
 
 
 def document(name, items):
