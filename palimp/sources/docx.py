@@ -1,24 +1,28 @@
 """Word documents as paragraphs, with the standard library's ZIP and XML readers.
 
-A file is parsed by one task into rows; files are read by Spark's binary source.
-The order of the rows is: body with its tables, headers, footers, text boxes,
-footnotes. Generated headings name the last four, so they become sections.
+A file is parsed by one task into events: paragraphs with the part of the file
+and the place they stand in. Sections, anchors, numbers and the final order come
+from windows over the events. The order of the rows is: body with its tables,
+headers, footers, text boxes, footnotes. Generated headings name the last four,
+so they become sections.
 """
 
 from __future__ import annotations
 
 import io
 import posixpath
-import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimp.functions.text import heading_boundary
+from palimp.schemas import TABLE_POSITION
+
 # Names of the document format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -28,11 +32,12 @@ HEADING_STYLES = ("Heading", "Title")
 BODY_SIZE, SIZE_DELTA = 11.0, 2.0
 SEPARATORS = {"separator", "continuationSeparator"}
 _VARIANTS = {"default": "", "first": "First Page", "even": "Even Page"}
-_NUMBERED = re.compile(r"^\s*\d+(\.\d+)+\s+\S.*$")
 
-SCHEMA = (
-    "document_id string, seq int, text string, page int, paragraph_index int, is_heading boolean, allow_text_pattern_heading boolean, from_table boolean, "
-    "table_position struct<table_id:int,row:int,col:int,row_span:int,col_span:int>"
+#: The parts of a file in the order of their paragraphs.
+BODY, AROUND, BOX, NOTE = range(4)
+EVENTS = (
+    "document_id string, part int, unit int, ord int, at int, label string, text string, is_heading boolean, by_text boolean, "
+    "table_position struct<table_id:int,row:int,col:int,row_span:int,col_span:int>, error string"
 )
 
 
@@ -40,10 +45,6 @@ def _shaped(text: str) -> bool:
     return len(text) <= 120 and len(text.split()) <= 12 and not text.rstrip().endswith((".", ",", ";"))
 
 
-def _opens_section(text: str, is_heading: bool, by_text: bool) -> bool:
-    return is_heading or by_text and _shaped(text) and (bool(_NUMBERED.match(text)) or text.isupper())
-
-
 @dataclass
 class Word:
     """The parts of one file."""
@@ -148,13 +149,6 @@ def walk(word: Word, content: ET.Element, by_text: bool = True, position: dict |
                 yield from walk(word, tc, False, {"table_id": table_id, "row": row, "col": col, "row_span": row_span, "col_span": col_span})
 
 
-def anchor_label(heading: str, before: int, inside: bool) -> str:
-    """Where something hangs: in a paragraph of a section, at its start, or after a paragraph."""
-    if inside:
-        return f"{heading}, paragraph {before + 1}"
-    return f"{heading}, after paragraph {before}" if before else f"{heading}, at start"
-
-
 def header_footer_label(kind: str, section: int, variant: str, several: bool) -> str:
     parts = [f"Section {section + 1}"] * several + [variant] * bool(variant)
     return f"Page {kind.title()}" + (f" ({', '.join(parts)})" if parts else "")
@@ -180,96 +174,139 @@ def _on(x: ET.Element | None) -> bool:
     return x is not None and x.get(f"{W}val", "1") not in ("0", "false", "off")
 
 
-def parse_docx(content: bytes) -> list[dict]:
-    """The paragraph rows of a file."""
+def file_events(content: bytes) -> Iterator[dict]:
+    """What a file holds, in no order that matters: paragraphs with their part, unit and place.
+
+    Body paragraphs, blank ones too, are unit 0 of their part. A header or footer,
+    a text box and a footnote is a unit with a number of its own; a box and a note
+    also say ``at`` which body paragraph they hang, and a header, a footer and
+    what hangs in one have their label. Only paragraphs with text are given of units.
+    """
     word, document = Word.of(content)
     if document is None:
         raise ValueError("not a Word document: it has no word/document.xml")
     body = document.find(f"{W}body")
-    out: list[dict] = []
 
-    def row(p: ET.Element, by_text: bool, position: dict | None) -> dict | None:
-        text = paragraph_text(p).strip()
-        if not text:
-            return None
-        name, style_size = word.style(p)
-        run = p.find(f"{W}r")
-        size = _size(None if run is None else run.find(f"{W}rPr"))
-        size = style_size if size is None else size
-        large = size is not None and size >= word.baseline + SIZE_DELTA and _shaped(text)
-        return {"text": text, "is_heading": name.startswith(HEADING_STYLES) or large, "allow_text_pattern_heading": by_text, "from_table": position is not None, "table_position": position}
-
-    def emit(r: dict | None) -> None:
-        if r is not None:
-            out.append(r | {"seq": len(out), "paragraph_index": len(out), "page": None})
-
-    def label(text: str) -> dict:
-        return {"text": text, "is_heading": True, "allow_text_pattern_heading": True, "from_table": False, "table_position": None}
-
-    heading, count = "Preamble", 0
-    boxes: dict[ET.Element, str] = {}
-    references: dict[str, str] = {}
-    for p, by_text, position in walk(word, body):
-        r = row(p, by_text, position)
-        opens = r is not None and _opens_section(r["text"], r["is_heading"], by_text)
-        if opens:
-            heading, count = r["text"], 0
-        anchor = anchor_label(heading, count, r is not None and not opens)
-        for box in _without_fallback(p, f"{W}txbxContent"):
-            boxes[box] = anchor
-        for ref in _without_fallback(p, f"{W}footnoteReference"):
-            references.setdefault(ref.get(f"{W}id"), anchor)
-        emit(r)
-        count += r is not None and not opens
-    around = _headers_and_footers(word, document)
-    for name, part in around:
-        rows = [r for p, _, position in walk(word, part, False) if (r := row(p, False, position))]
-        if rows:
-            for r in [label(name), *rows]:
-                emit(r)
-    number = 0
-    for name, root in [(None, body), *around]:
-        for box in _without_fallback(root, f"{W}txbxContent"):
-            rows = [r for p, _, _ in walk(word, box) if (r := row(p, False, None))]
-            if rows:
-                number += 1
-                anchor = boxes.get(box, name)
-                for r in [label(f"Text Box {number}" + (f" ({anchor})" if anchor else "")), *rows]:
-                    emit(r)
-    part = next((target for kind, target in word.rels.values() if kind == FOOTNOTES), None)
-    notes = None if part is None else word.part(part)
-    by_id = {} if notes is None else {n.get(f"{W}id"): n for n in notes.findall(f"{W}footnote") if n.get(f"{W}type") not in SEPARATORS}
-    number = 0
-    for note, anchor in references.items():
-        rows = [r for p, _, _ in walk(word, by_id[note]) if (r := row(p, False, None))] if note in by_id else []
-        if rows:
-            number += 1
-            for r in [label(f"Footnote {number} ({anchor})"), *rows]:
-                emit(r)
-    return out
+    def event(part: int, unit: int, ord_: int, p: ET.Element, by_text: bool, position: dict | None, **more) -> dict:
+        return {"part": part, "unit": unit, "ord": ord_, "by_text": by_text, "table_position": position} | _looks(word, p) | more
 
+    def unit(part: int, number: int, content: ET.Element, tables: bool, **more) -> Iterator[dict]:
+        for n, (p, _, position) in enumerate(walk(word, content, False)):
+            e = event(part, number, n, p, False, position if tables else None, **more)
+            if e["text"]:
+                yield e
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Paragraph rows of a table of files (path, content)."""
+    hangs: dict[ET.Element, int] = {}
+    noted: dict[str, int] = {}
+    for n, (p, by_text, position) in enumerate(walk(word, body)):
+        hangs |= {box: n for box in _without_fallback(p, f"{W}txbxContent")}
+        for ref in _without_fallback(p, f"{W}footnoteReference"):
+            noted.setdefault(ref.get(f"{W}id"), n)
+        yield event(BODY, 0, n, p, by_text, position)
+    around = _headers_and_footers(word, document)
+    for n, (label, part) in enumerate(around):
+        yield from unit(AROUND, n, part, True, label=label)
+    boxes = [(label, box) for label, root in [(None, body), *around] for box in _without_fallback(root, f"{W}txbxContent")]
+    for n, (label, box) in enumerate(boxes):
+        yield from unit(BOX, n, box, False, label=label, at=hangs.get(box))
+    target = next((target for kind, target in word.rels.values() if kind == FOOTNOTES), None)
+    notes = None if target is None else word.part(target)
+    for note in () if notes is None else notes.findall(f"{W}footnote"):
+        key = note.get(f"{W}id")
+        if key in noted and note.get(f"{W}type") not in SEPARATORS:
+            yield from unit(NOTE, list(noted).index(key), note, False, at=noted[key])
+
+
+def _looks(word: Word, p: ET.Element) -> dict:
+    """Text of a paragraph and whether it is a heading by its style or size."""
+    text = paragraph_text(p).strip()
+    name, of_style = word.style(p)
+    run = p.find(f"{W}r")
+    own = _size(None if run is None else run.find(f"{W}rPr"))
+    size = of_style if own is None else own
+    return {"text": text, "is_heading": bool(text) and (name.startswith(HEADING_STYLES) or size is not None and size >= word.baseline + SIZE_DELTA and _shaped(text))}
+
+
+def located(events: DataFrame) -> DataFrame:
+    """The events with ``opens`` (a body paragraph that begins a section) and ``anchor``, where in the body an event is.
+
+    What hangs from a body paragraph is sorted right behind it, so the heading
+    last seen and the paragraphs counted since it are running values.
+    """
+    hung = (F.col("part") != BODY) & F.col("at").isNotNull()
+    place = F.when(F.col("part") == BODY, F.col("ord")).when(hung, F.col("at"))
+    order = [F.asc_nulls_last("_place"), F.col("part"), F.col("unit"), F.col("ord")]
+    so_far = Window.partitionBy("document_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("document_id", "_section").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    real = (F.col("part") == BODY) & (F.coalesce("text", F.lit("")) != "")
+    e = events.withColumns({"_place": place, "opens": real & F.coalesce(heading_boundary(F.col("text"), F.col("is_heading"), F.col("by_text")), F.lit(False))})
+    e = e.withColumns({
+        "_section": F.sum(F.col("opens").cast("int")).over(so_far), "_heading": F.coalesce(F.last(F.when(F.col("opens"), F.col("text")), True).over(so_far), F.lit("Preamble")),
+        "_inside": F.last(F.when(F.col("part") == BODY, real & ~F.col("opens")), True).over(so_far),
+    })
+    e = e.withColumn("_n", F.sum((real & ~F.col("opens")).cast("int")).over(since))
+    anchor = F.when(F.col("part").eqNullSafe(BODY) | hung, anchor_label(F.col("_heading"), F.col("_n"), F.col("_inside")))
+    return e.withColumn("anchor", anchor).drop("_place", "_section", "_heading", "_inside", "_n")
+
+
+def anchor_label(heading: Column, count: Column, inside: Column) -> Column:
+    """Where something hangs: in the paragraph counted last in a section, at its start, or after a paragraph."""
+    number = count.cast("string")
+    return F.concat(heading, F.when(inside, F.concat(F.lit(", paragraph "), number)).when(count > 0, F.concat(F.lit(", after paragraph "), number)).otherwise(", at start"))
+
+
+def paragraphs_of_events(events: DataFrame) -> DataFrame:
+    """Paragraph rows of the events of files: body, headers and footers, text boxes, footnotes, each unit under its label."""
+    e = located(events).where("text <> ''")
+    counted = Window.partitionBy("document_id", "part").orderBy("unit")
+    number = F.dense_rank().over(counted).cast("string")
+    hanging = lambda word, of: F.concat(F.lit(f"{word} "), number, F.coalesce(F.concat(F.lit(" ("), of, F.lit(")")), F.lit("")))
+    name = F.when(F.col("part") == AROUND, F.col("label")).when(F.col("part") == BOX, hanging("Text Box", F.coalesce("anchor", "label"))).when(F.col("part") == NOTE, hanging("Footnote", F.col("anchor")))
+    first = F.row_number().over(Window.partitionBy("document_id", "part", "unit").orderBy("ord")) == 1
+    own = F.struct(F.lit(1).alias("k"), "text", F.coalesce("is_heading", F.lit(False)).alias("is_heading"), F.col("by_text").alias("allow_text_pattern_heading"), F.col("table_position").isNotNull().alias("from_table"), "table_position")
+    title = F.struct(F.lit(0).alias("k"), name.alias("text"), F.lit(True).alias("is_heading"), F.lit(True).alias("allow_text_pattern_heading"), F.lit(False).alias("from_table"), F.lit(None).cast(TABLE_POSITION).alias("table_position"))
+    rows = e.select("document_id", "part", "unit", "ord", F.when(first & (F.col("part") != BODY), F.array(title, own)).otherwise(F.array(own)).alias("_r")).select("document_id", "part", "unit", "ord", F.inline("_r"))
+    seq = (F.row_number().over(Window.partitionBy("document_id").orderBy("part", "unit", "ord", "k")) - 1).cast("int")
+    return rows.select("document_id", seq.alias("seq"), "text", F.lit(None).cast("int").alias("page"), seq.alias("paragraph_index"), "is_heading", "allow_text_pattern_heading", "from_table", "table_position")
+
+
+def events_of_files(files: DataFrame) -> DataFrame:
+    """Events of a table of files (path, content), one task a file; a file that cannot be read is one row with its ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b["path"].to_pylist(), b["content"]):
-                rows = [{"document_id": path} | r for r in parse_docx(content.as_py())]
+                try:
+                    rows = [{"document_id": path} | e for e in file_events(content.as_py())]
+                except (ValueError, TypeError, AttributeError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
+                    rows = [{"document_id": path, "error": f"{type(e).__name__}: {e}"}]
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, EVENTS)
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Paragraph rows of a table of files (path, content). Damaged files have none; :func:`damaged_files` tells which they are."""
+    return paragraphs_of_events(events_of_files(files).where(F.col("error").isNull()))
+
+
+def damaged_files(files: DataFrame) -> DataFrame:
+    """document_id and error of the files that cannot be read."""
+    return events_of_files(files).where(F.col("error").isNotNull()).select("document_id", "error")
 
 
-_POSITION = pa.struct([(c, pa.int32()) for c in ("table_id", "row", "col", "row_span", "col_span")])
 _ARROW = pa.schema(
     [
-        ("document_id", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("page", pa.int32()), ("paragraph_index", pa.int32()), ("is_heading", pa.bool_()),
-        ("allow_text_pattern_heading", pa.bool_()), ("from_table", pa.bool_()), ("table_position", _POSITION),
+        ("document_id", pa.string()), ("part", pa.int32()), ("unit", pa.int32()), ("ord", pa.int32()), ("at", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("is_heading", pa.bool_()), ("by_text", pa.bool_()),
+        ("table_position", pa.struct([(c, pa.int32()) for c in ("table_id", "row", "col", "row_span", "col_span")])), ("error", pa.string()),
     ]
 )
 
 
+def _files(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    return spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias("path"), "content")
+
+
 def read_docx(spark: SparkSession, *paths: str) -> DataFrame:
     """Paragraph rows of Word files; the document is the file's path."""
-    return parse_files(spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias("path"), "content"))
+    return parse_files(_files(spark, paths))

@@ -44,18 +44,33 @@ TABLE = (
 )
 
 
-def test_docx():
+def parsed(spark, content):
+    return [r.asDict(True) for r in docx.parse_files(spark.createDataFrame([("f", bytearray(content))], "path string, content binary")).orderBy("seq").collect()]
+
+
+def test_docx(spark):
     body = p("1 Scope", "H1") + p("First.") + p("", extra=BOX) + p("Second", extra='<w:r><w:footnoteReference w:id="7"/></w:r>') + p("LARGE HEADING", size="26") + TABLE
-    rows = docx.parse_docx(word(body))
+    rows = parsed(spark, word(body))
     assert [r["text"] for r in rows] == ["1 Scope", "First.", "Second", "LARGE HEADING", "A", "B", "HPLC", "d", "nested", "Page Header", "Site manual", "Text Box 1 (1 Scope, after paragraph 1)", "In a box", "Footnote 1 (1 Scope, paragraph 2)", "A note."]
     assert [r["text"] for r in rows if r["is_heading"]] == ["1 Scope", "LARGE HEADING", "Page Header", "Text Box 1 (1 Scope, after paragraph 1)", "Footnote 1 (1 Scope, paragraph 2)"]
     at = {r["text"]: tuple(r["table_position"].values()) for r in rows if r["table_position"]}
     assert at == {"A": (0, 0, 0, 1, 2), "B": (0, 0, 2, 2, 1), "HPLC": (0, 1, 0, 1, 1), "d": (0, 1, 1, 1, 1), "nested": (1, 0, 0, 1, 1)}
     assert not any(r["allow_text_pattern_heading"] for r in rows if r["from_table"])
     assert [r["paragraph_index"] for r in rows] == list(range(len(rows)))
-    assert "Page Header" not in [r["text"] for r in docx.parse_docx(word(p("x"), header=p(" ")))]
+    assert "Page Header" not in [r["text"] for r in parsed(spark, word(p("x"), header=p(" ")))]
     assert docx.header_footer_label("footer", 1, "First Page", True) == "Page Footer (Section 2, First Page)"
-    assert [docx.anchor_label("H", n, i) for n, i in ((0, False), (2, False), (2, True))] == ["H, at start", "H, after paragraph 2", "H, paragraph 3"]
+    inner = p("x") + p("", extra=BOX) + p("1.0 Two", "H1", extra=BOX.replace("In a box", " ")) + p("", extra=BOX) + p("y", extra='<w:r><w:footnoteReference w:id="9"/></w:r><w:r><w:footnoteReference w:id="7"/></w:r>') + p("z", extra='<w:r><w:footnoteReference w:id="7"/></w:r>')
+    boxed = parsed(spark, word(inner, header=p("Top", extra=BOX)))
+    assert [r["text"] for r in boxed if r["is_heading"]] == ["1.0 Two", "Page Header", "Text Box 1 (Preamble, after paragraph 1)", "Text Box 2 (1.0 Two, at start)", "Text Box 3 (Page Header)", "Footnote 1 (1.0 Two, paragraph 1)"]
+
+
+def test_damaged_files(spark):
+    empty = io.BytesIO()
+    zipfile.ZipFile(empty, "w").close()
+    files = spark.createDataFrame([("good", bytearray(word(p("x")))), ("bad", bytearray(b"no archive")), ("hollow", bytearray(empty.getvalue()))], "path string, content binary")
+    assert {r.document_id for r in docx.parse_files(files).collect()} == {"good"}
+    assert {r.document_id: r.error.split(":")[0] for r in docx.damaged_files(files).collect()} == {"bad": "BadZipFile", "hollow": "ValueError"}
+    assert docx.parse_files(files.limit(0)).count() == 0
 
 
 def test_files(spark, tmp_path):
