@@ -1,17 +1,21 @@
 """Near-duplicate records by tensored banding of minhashes.
 
-Each record is the set of word shingles of its text fields. A small collection A
-of ``a`` minhash tuples and a further one of ``b`` are computed per record; a
-table's key is a pair of a tuple of A with another tuple of either collection,
-so some a * (a + b - 1) tables cost only a + b tuples. A record is routed once
-per A tuple, and the task that holds an A bucket forms the pair keys with all
-other tuples, so no record is shuffled once per table. An A bucket expected to hold more than ``hot_rows`` records is routed by
-its pair keys instead; the tables are the same, only spread further. Candidates
-are tested against the minhash bytes of both records and then verified with
-the exact similarity of their shingle sets.
-
-Copies (equal sets) share one fingerprint: they are combined before the
-exchange and never paired with each other.
+Each record is the set of word shingles of its text fields. Equal sets are made
+one first, under a fingerprint. A small collection A of ``a`` minhash tuples and
+a further one of ``b`` are computed per set; a table's key is a pair of a tuple
+of A with a later tuple of A or one of the other collection, so the many tables
+cost only a + b tuples. A set is routed once per A tuple; partitions are sorted
+by its key, and a task forms the pair keys of one A bucket after another, in the
+order they stream in.
+
+A bucket of more than ``hold`` rows is not held: its rows go on, one for each
+pair key, to a second exchange. There each pair key's rows are counted, and
+those of a key with more than ``hold`` are dealt to blocks; every two blocks of
+a key are a tile of its own key, so the pairs of the hottest bucket spread over
+all tasks and each is looked at once.
+
+Candidates need a number of equal minhash bytes and are then verified with the
+exact similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.llm.words import grams, mix, slices, text_buffer, words
+from palimp.llm.words import binary_buffer, grams, mix, slices, text_buffer, words
 from palimp.runtime import checkpoint
 
 #: Bits of a shingle's hash that are kept in a set.
@@ -131,8 +135,8 @@ def _packed(shingles: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _SET_BITS // 8])
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, _SET_BITS // 8)
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    six = data.reshape(-1, _SET_BITS // 8)
     out = np.zeros((len(six), 8), np.uint8)
     out[:, : _SET_BITS // 8] = six
     return out.reshape(-1).view("<u8")
@@ -143,63 +147,68 @@ def _base(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *texts)
 
 
-def fingerprinted(df: DataFrame, id_col: str, fields: list[str], size: int, least_words: int) -> DataFrame:
-    """fp long, id and set binary (on the first of equal sets in a batch) of every record that takes part."""
-    names = [f"_t{k}" for k in range(len(fields))]
+def _fields(fields: list[str]) -> list[str]:
+    return [f"_t{k}" for k in range(len(fields))]
+
+
+def shingled(df: DataFrame, id_col: str, fields: list[str], size: int, least_words: int) -> DataFrame:
+    """fp long and set binary, one row for each different set. Copies are combined in every batch and in every task before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, offsets, shingles in _records(batches, names, size, least_words):
-            fp = _fingerprints(offsets, shingles)
-            _, first = np.unique(fp, return_index=True)
-            null = np.ones(len(fp), bool)
-            null[first] = False
-            sizes = np.where(null, 0, np.diff(offsets))
-            data = shingles[np.repeat(~null, np.diff(offsets))]
-            sets = _rows(np.concatenate([[0], np.cumsum(sizes)]), _packed(data), _SET_BITS // 8)
-            bits = pa.py_buffer(np.packbits(~null, bitorder="little"))
-            sets = pa.Array.from_buffers(pa.binary(), len(fp), [bits, *sets.buffers()[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), ids, sets], ["fp", "id", "set"])
+        for _, offsets, shingles in _records(batches, _fields(fields), size, least_words):
+            fp, offsets, shingles = _different(_fingerprints(offsets, shingles), offsets, shingles)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), _rows(offsets, _packed(shingles), _SET_BITS // 8)], ["fp", "set"])
+
+    return _base(df, id_col, fields).mapInArrow(run, "fp long, set binary").groupBy("fp").agg(F.first("set").alias("set"))
 
+
+def membership(df: DataFrame, id_col: str, fields: list[str], size: int, least_words: int) -> DataFrame:
+    """fp long and id of every record that takes part, once each; spread by both, so no set of copies is one task's."""
     base = _base(df, id_col, fields)
-    return base.mapInArrow(run, f"fp long, id {base.schema['_id'].dataType.simpleString()}, set binary")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, offsets, shingles in _records(batches, _fields(fields), size, least_words):
+            yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(offsets, shingles).view(np.int64)), ids], ["fp", "id"])
+
+    return base.mapInArrow(run, f"fp long, id {base.schema['_id'].dataType.simpleString()}").distinct()
 
-def _routed(df: DataFrame, fields: list[str], size: int, least_words: int, banding: Banding, hot: np.ndarray) -> DataFrame:
-    """One row per A tuple: key, fp and the minhash bytes in longs.
 
-    A row of a hot A bucket comes once per B tuple instead, under the pair's key.
-    """
-    names = [f"_t{k}" for k in range(len(fields))]
-    longs = -(-banding.hashes // 8)
+def _different(fp: np.ndarray, offsets: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of each group of equal sets."""
+    _, first = np.unique(fp, return_index=True)
+    if len(first) == len(fp):
+        return fp, offsets, shingles
+    keep = np.zeros(len(fp), bool)
+    keep[first] = True
+    sizes = np.diff(offsets)
+    return fp[keep], np.concatenate([[0], np.cumsum(sizes[keep])]), shingles[np.repeat(keep, sizes)]
+
+
+def _longs(banding: Banding) -> list[str]:
+    """The columns that hold the minhash bytes."""
+    return [f"s{c}" for c in range(-(-banding.hashes // 8))]
+
+
+def _routed(sets: DataFrame, banding: Banding) -> DataFrame:
+    """One row per A tuple of every set: key, fp and the minhash bytes in longs."""
+    longs = _longs(banding)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, offsets, shingles in _records(batches, names, size, least_words):
-            fp = _fingerprints(offsets, shingles)
-            _, first = np.unique(fp, return_index=True)
-            if len(first) < len(fp):  # copies are combined here
-                keep = np.zeros(len(fp), bool)
-                keep[first] = True
-                sizes, shingles = np.diff(offsets)[keep], shingles[np.repeat(keep, np.diff(offsets))]
-                fp, offsets = fp[keep], np.concatenate([[0], np.cumsum(sizes)])
-            sketch = _sketch(offsets, shingles, banding)
-            low = np.zeros((len(fp), 8 * longs), np.uint8)
-            low[:, : banding.hashes] = (sketch >> np.uint64(40)).astype(np.uint8).T
-            packed = low.view("<i8")
-            for i in range(banding.a):
-                key = a_keys(sketch, banding, i)
-                is_hot = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
-                for j in [-1, *(j for j in range(banding.a + banding.b) if j != i and is_hot.any())]:
-                    of = np.flatnonzero(~is_hot if j < 0 else is_hot)
-                    k = key[of] if j < 0 else (mix(key[of] + codes(low[of], banding, j)) | _OWN)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.view(np.int64)), pa.array(fp[of].view(np.int64)), *(pa.array(np.ascontiguousarray(packed[of, c])) for c in range(longs))],
-                        ["key", "fp", *(f"s{c}" for c in range(longs))],
-                    )
-
-    return df.mapInArrow(run, "key long, fp long, " + ", ".join(f"s{c} long" for c in range(longs)))
-
-
-#: The low bits of a key that say which tuple it is made of; all set where it is made of a pair.
+        for batch in batches:
+            raw, ends = binary_buffer(batch["set"])
+            for lo, hi in slices(ends):
+                offsets = (ends[lo : hi + 1] - ends[lo]) // (_SET_BITS // 8)
+                sketch = _sketch(offsets, _unpacked(raw[ends[lo] : ends[hi]]), banding)
+                low = np.zeros((hi - lo, 8 * len(longs)), np.uint8)
+                low[:, : banding.hashes] = (sketch >> np.uint64(40)).astype(np.uint8).T
+                columns = [batch["fp"].slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(c)) for c in low.view("<i8").T)]
+                for i in range(banding.a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a_keys(sketch, banding, i).view(np.int64)), *columns], ["key", "fp", *longs])
+
+    return sets.mapInArrow(run, "key long, fp long, " + ", ".join(f"{c} long" for c in longs))
+
+
+#: The low bits of a key that say which tuple of A it is made of.
 _OWN = np.uint64(31)
 
 
@@ -238,82 +247,174 @@ def run_pairs(key: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray,
         lo = hi
 
 
-def _bucket_pairs(banding: Banding):
-    """Candidate pairs of the buckets of one partition."""
+def buckets(batches: Iterator[pa.RecordBatch], hold: int, split: bool = True) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
+    """Buckets of rows sorted by key, many small ones at a time: keys, the other columns, and whether they are of buckets of more
+    than ``hold`` rows, which come in parts. At most about ``hold`` rows and a batch are held. With ``split`` false all come whole."""
+    held: list[list[np.ndarray]] = []
+    n, hot = 0, None  # hot: the key of the bucket that is being passed on
+    join = lambda parts: [np.concatenate(c) for c in zip(*parts)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if hot is not None:
+            cut = int(np.searchsorted(columns[0], hot, "right"))
+            if cut:
+                yield columns[0][:cut], [c[:cut] for c in columns[1:]], True
+            if cut == len(columns[0]):
+                continue
+            columns, hot = [c[cut:] for c in columns], None
+        held.append(columns)
+        n += len(columns[0])
+        if n <= hold:
+            continue
+        columns = join(held)
+        last = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # where the last, unfinished bucket begins
+        if last:
+            yield from _by_heat(columns[0][:last], [c[:last] for c in columns[1:]], hold, split)
+        rest = [c[last:] for c in columns]
+        if split and len(rest[0]) > hold:
+            hot = rest[0][0]
+            yield rest[0], rest[1:], True
+            held, n = [], 0
+        else:
+            held, n = [rest], len(rest[0])
+    if n:
+        columns = join(held)
+        yield from _by_heat(columns[0], columns[1:], hold, split)
+
+
+def _by_heat(key: np.ndarray, columns: list[np.ndarray], hold: int, split: bool) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
+    """Finished buckets, those of more than ``hold`` rows apart."""
+    bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(bounds, len(key)))
+    is_hot = np.repeat((sizes > hold) & split, sizes)
+    for heat in (False, True):
+        of = np.flatnonzero(is_hot == heat)
+        if len(of):
+            yield key[of], [c[of] for c in columns], heat
+
+
+def partners(own: np.ndarray, banding: Banding, j: int) -> np.ndarray:
+    """The rows whose A tuple forms a table with tuple j: each two tuples of A do so once."""
+    return np.flatnonzero(own < j) if j < banding.a else np.arange(len(own))
+
+
+def _bucket_pairs(banding: Banding, hold: int):
+    """Candidate pairs of the buckets of a sorted partition; of larger buckets, the rows under their pair keys.
+
+    Rows: pair_key (null for a pair), fp_1, fp_2 (null for a row) and the minhash bytes (of a row).
+    """
+    longs = _longs(banding)
+    names = ["pair_key", "fp_1", "fp_2", *longs]
+
+    def pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, y in _unique_pairs(found):
+            nulls = pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([nulls, pa.array(x), pa.array(y), *[nulls] * len(longs)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        key, fp = (t[c].to_numpy() for c in ("key", "fp"))
-        packed = np.stack([t[c].to_numpy() for c in t.column_names[2:]], 1).view(np.uint64)
-        low = packed.view(np.uint8)
-        spare = 8 * packed.shape[1] - banding.hashes  # bytes that are 0 in all
-        del parts, t
-        key = key.view(np.uint64)
-        own = (key & _OWN).astype(np.int64)
-        found = []
-        for j in range(banding.a + banding.b):
-            of = np.flatnonzero(own != j)
-            pair_key = key[of] + codes(low[of], banding, j)
-            for x, y in run_pairs(pair_key, np.argsort(pair_key, kind="stable")):
-                x, y = of[x], of[y]
-                differ = fp[x] != fp[y]
-                x, y = x[differ], y[differ]
-                equal = equal_bytes(packed[x], packed[y]) - spare
-                ok = equal >= banding.least_equal
-                x, y = fp[x[ok]], fp[y[ok]]
-                if len(x):
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        found: list[np.ndarray] = []
+        for key, (fp, *packed), hot in buckets(batches, hold):
+            packed = np.stack(packed, 1).view(np.uint64)
+            low, key = packed.view(np.uint8), key.view(np.uint64)
+            own = (key & _OWN).astype(np.int64)
+            for j in range(banding.a + banding.b):
+                of = partners(own, banding, j)
+                pair_key = key[of] + codes(low[of], banding, j)
+                if hot:
+                    if len(of):
+                        k = mix(pair_key + np.uint64(j))
+                        columns = [k.view(np.int64), fp[of], *packed[of].view(np.int64).T]
+                        arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
+                        yield pa.RecordBatch.from_arrays([arrays[0], arrays[1], pa.nulls(len(of), pa.int64()), *arrays[2:]], names)
+                else:
+                    for x, y in run_pairs(pair_key, np.argsort(pair_key, kind="stable")):
+                        found += _passing(fp, packed, of[x], of[y], banding)
             if sum(map(len, found)) > 1 << 20:
-                found = yield from _emit(found)
-        yield from _emit(found)
+                yield from pairs(found)
+                found = []
+        yield from pairs(found)
 
     return run
 
 
-def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bytes of each row of longs are equal: a byte of the difference is 0 if no bit of it is set."""
-    low = np.uint64(0x7F7F7F7F7F7F7F7F)
-    x = a ^ b
-    return np.bitwise_count(~(((x & low) + low) | x | low)).sum(1, dtype=np.int16)
+def _passing(fp: np.ndarray, packed: np.ndarray, x: np.ndarray, y: np.ndarray, banding: Banding) -> list[np.ndarray]:
+    """Of pairs of rows, the pairs of fingerprints with enough equal minhash bytes, the smaller first."""
+    spare = 8 * packed.shape[1] - banding.hashes  # bytes that are 0 in all
+    ok = (equal_bytes(packed[x], packed[y]) - spare >= banding.least_equal) & (fp[x] != fp[y])
+    x, y = fp[x[ok]], fp[y[ok]]
+    return [np.stack([np.minimum(x, y), np.maximum(x, y)], 1)] if len(x) else []
 
 
-def _emit(found: list[np.ndarray]):
+def _unique_pairs(found: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if found:
         pairs = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["fp_1", "fp_2"])
-    return []
+        yield np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
 
-def _similarity(pair: str = "fp_1 long, fp_2 long"):
+def _tile_pairs(banding: Banding, hold: int):
+    """Candidate pairs within the tiles of a sorted partition; a tile of two blocks compares across them only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch["set_1"].to_pylist(), batch["set_2"].to_pylist()
-            score = np.empty(len(a))
-            for k, (x, y) in enumerate(zip(a, b)):
-                x, y = _unpacked(x), _unpacked(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                score[k] = both / (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch["fp_1"], batch["fp_2"], pa.array(score)], ["fp_1", "fp_2", "similarity"])
+        for key, (fp, block, across, *packed), _ in buckets(batches, hold, split=False):
+            packed = np.stack(packed, 1).view(np.uint64)
+            found: list[np.ndarray] = []
+            for x, y in run_pairs(key, np.arange(len(key))):
+                apart = ~across[x].astype(bool) | (block[x] != block[y])
+                found += _passing(fp, packed, x[apart], y[apart], banding)
+                if sum(map(len, found)) > 1 << 20:
+                    yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp_1", "fp_2"]) for a, b in _unique_pairs(found))
+                    found = []
+            yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp_1", "fp_2"]) for a, b in _unique_pairs(found))
 
     return run
 
 
-def _hot_keys(df: DataFrame, fields: list[str], size: int, least_words: int, banding: Banding, hot_rows: int, sample: int) -> np.ndarray:
-    """A keys that a hash sample expects in more than ``hot_rows`` records.
+def _tiled(rows: DataFrame, longs: list[str], hold: int) -> DataFrame:
+    """Rows under pair keys, dealt to tiles: key, fp, block, across and the minhash bytes.
 
-    Only routing depends on it: a hot key that is not seen costs time, no pair.
-    At most rows * a / hot_rows keys can be that frequent.
+    A key of n rows has s = n / hold blocks by the row's fingerprint, and a row is
+    in s tiles, one for each block its own is paired with.
     """
-    sampled = df.where(F.pmod(F.xxhash64("_id"), F.lit(sample)) == 0)
-    rows = _routed(sampled, fields, size, least_words, banding, np.zeros(0, np.uint64))
-    hot = rows.groupBy("key").count().where(F.col("count") > max(2, hot_rows // sample)).select("key")
-    return np.array([r.key for r in hot.collect()], np.int64).view(np.uint64)
+    counts = rows.groupBy("pair_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    blocks = F.ceil(F.col("_n") / F.lit(hold)).cast("int")
+    r = rows.join(counts, "pair_key").withColumn("_s", blocks).withColumn("block", F.pmod(F.xxhash64("fp_1"), F.col("_s")).cast("int"))
+    r = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    key = F.xxhash64("pair_key", F.least("block", "_o"), F.greatest("block", "_o"))
+    return r.select(key.alias("key"), F.col("fp_1").alias("fp"), "block", (F.col("block") != F.col("_o")).alias("across"), *longs)
+
+
+def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes of each row of longs are equal: a byte of the difference is 0 if no bit of it is set."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    x = a ^ b
+    return np.bitwise_count(~(((x & low) + low) | x | low)).sum(1, dtype=np.int16)
+
+
+def _similarity():
+    """Jaccard similarity of the two sets of every row, a batch at once: a hash that comes twice under a row's number is in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [binary_buffer(batch[c]) for c in ("set_1", "set_2")]
+            ends = sides[0][1] + sides[1][1]
+            for lo, hi in slices(ends, 1 << 22):
+                keys, sizes = [], []
+                for raw, e in sides:
+                    n = np.diff(e[lo : hi + 1]) // (_SET_BITS // 8)
+                    sizes.append(n)
+                    keys.append((np.repeat(np.arange(hi - lo, dtype=np.uint64), n) << np.uint64(_SET_BITS)) | _unpacked(raw[e[lo] : e[hi]]))
+                key = np.sort(np.concatenate(keys))
+                twice = key[1:][key[1:] == key[:-1]] >> np.uint64(_SET_BITS)
+                both = np.bincount(twice.astype(np.int64), minlength=hi - lo)
+                score = both / (sizes[0] + sizes[1] - both)
+                yield pa.RecordBatch.from_arrays([batch["fp_1"].slice(lo, hi - lo), batch["fp_2"].slice(lo, hi - lo), pa.array(score)], ["fp_1", "fp_2", "similarity"])
 
+    return run
 
-def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, size: int = 5, least_words: int = 0, banding: Banding | None = None, hot_rows: int = 50_000, sample: int = 64) -> tuple[DataFrame, DataFrame]:
+
+def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, size: int = 5, least_words: int = 0, banding: Banding | None = None, hold: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
     """Pairs of different shingle sets at least ``threshold`` similar, and the members of each set.
 
     Returns (pairs: fp_1, fp_2, similarity; members: fp, id). Texts are lower-cased
@@ -322,24 +423,25 @@ def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float
     Records with a null id, fewer than ``least_words`` words or no shingle (null,
     empty or short texts) take no part. Repeated rows of an id count once. The
     input's other columns are ignored. Sets are told apart by 64-bit fingerprints
-    and shingles by 40-bit hashes.
+    and shingles by 40-bit hashes. A task holds ``hold`` rows of 64 bytes and a
+    batch; larger buckets are split, with the same pairs.
     """
     banding = banding or Banding.of(threshold)
-    base = _base(df, id_col, fields)
-    hot = _hot_keys(base, fields, size, least_words, banding, hot_rows, sample)
-    routed = _routed(base, fields, size, least_words, banding, hot)
-    candidates = routed.repartition("key").mapInArrow(_bucket_pairs(banding), "fp_1 long, fp_2 long").distinct()
-    records = fingerprinted(df, id_col, fields, size, least_words)
-    keyed = records.repartition("fp")
-    sets = keyed.where(F.col("set").isNotNull()).groupBy("fp").agg(F.first("set").alias("set"))
-    members = keyed.select("fp", "id").distinct()
+    longs = _longs(banding)
+    sets = shingled(df, id_col, fields, size, least_words)
+    rows = _routed(sets, banding).repartition("key").sortWithinPartitions("key")
+    schema = "pair_key long, fp_1 long, fp_2 long, " + ", ".join(f"{c} long" for c in longs)
+    # Pairs and rows of large buckets come from one pass; what is checkpointed are mostly the pairs.
+    passed = checkpoint(rows.mapInArrow(_bucket_pairs(banding, hold), schema))
+    tiles = _tiled(passed.where(F.col("pair_key").isNotNull()).drop("fp_2"), longs, hold).repartition("key").sortWithinPartitions("key")
+    candidates = passed.where(F.col("pair_key").isNull()).select("fp_1", "fp_2").unionByName(tiles.mapInArrow(_tile_pairs(banding, hold), "fp_1 long, fp_2 long")).distinct()
     with_sets = (
         candidates.join(sets.select(F.col("fp").alias("fp_1"), F.col("set").alias("set_1")), "fp_1")
         .join(sets.select(F.col("fp").alias("fp_2"), F.col("set").alias("set_2")), "fp_2")
         .select("fp_1", "fp_2", "set_1", "set_2")
     )
     pairs = with_sets.mapInArrow(_similarity(), "fp_1 long, fp_2 long, similarity double").where(F.col("similarity") >= threshold - 1e-9)
-    return pairs, members
+    return pairs, membership(df, id_col, fields, size, least_words)
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, size: int = 5, least_words: int = 0, **options) -> DataFrame:
@@ -356,7 +458,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], threshol
     return linked.unionByName(copies).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node of the edges (a, b), by alternating stars.
 
     Each round links the neighbours of every node to the least of them; lineage is
@@ -366,7 +468,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = checkpoint(e)
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a"), F.least("a", "_b").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -378,8 +480,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("the components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
 
 

@@ -71,6 +71,11 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw, offsets - offsets[0]
 
 
+def binary_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values in a row and the n + 1 offsets into them; null is empty."""
+    return text_buffer(column.cast(pa.large_binary()).view(pa.large_string()) if not column.null_count else column.fill_null(b"").cast(pa.large_binary()).view(pa.large_string()))
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes; a longer text is alone in its range."""
     n, at = len(offsets) - 1, 0

@@ -2,6 +2,9 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from palimp.llm import neardup
 from palimp.llm.neardup import Banding, near_duplicate_pairs, similar_sets
 
@@ -51,10 +54,32 @@ def test_pairs_as_by_brute_force(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
-def test_hot_buckets_are_routed_by_pair_keys_with_the_same_result(spark):
+def test_large_buckets_are_split_with_the_same_result(spark):
     rows = fixture(2)
     plain = run(spark, rows, threshold=0.6, size=3, least_words=20)
-    assert run(spark, rows, threshold=0.6, size=3, least_words=20, hot_rows=2, sample=1) == plain
+    for hold in (1, 3, 20):
+        assert run(spark, rows, threshold=0.6, size=3, least_words=20, hold=hold) == plain
+
+
+def test_buckets_of_a_sorted_stream():
+    rng = np.random.default_rng(5)
+    for hold in (1, 4, 50, 10_000):
+        key = np.sort(rng.choice([1, 2, 3, 5, 5, 5, 5, 8, 9], 300))
+        value = np.arange(300)
+        cuts = [0, *sorted(rng.integers(0, 300, 12)), 300]
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(value[a:b])], ["key", "v"]) for a, b in zip(cuts, cuts[1:])]
+        for split in (True, False):
+            seen = []
+            finished = set()
+            for k, (v,), hot in neardup.buckets(iter(batches), hold, split):
+                seen += list(zip(k.tolist(), v.tolist()))
+                assert split or not hot
+                if not hot:  # a bucket that is not passed on in parts comes whole
+                    assert not finished & set(k.tolist()) and all((k == x).sum() == (key == x).sum() for x in set(k.tolist()))
+                    finished |= set(k.tolist())
+                else:
+                    assert all((key == x).sum() > hold for x in set(k.tolist()))
+            assert sorted(seen) == list(zip(key.tolist(), value.tolist()))
 
 
 def test_copies_share_a_class_and_are_not_paired(spark):
