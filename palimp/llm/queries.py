@@ -50,7 +50,7 @@ def p3_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and records of every value and section word of the changes, with marks."""
     changes = table(spark, sf_dir, "changes", "id", "change_type", "section", "ai_risk_level")
-    columns = {k: termfreq.single(F.col(k)) for k in ("change_type", "section", "ai_risk_level")} | {"section_word": termfreq.pieces(F.col("section"))}
+    columns = {k: (k, termfreq.single) for k in ("change_type", "section", "ai_risk_level")} | {"section_word": ("section", termfreq.pieces)}
     return termfreq.term_frequencies(changes, "id", columns).withColumnRenamed("term", "value")
 
 
