@@ -1,12 +1,14 @@
 """Evaluation texts inside a training corpus, by SimHash windows and a multi-index.
 
 Every window of ``window`` words of an article gets a 64-bit SimHash (a sum of
-the weighted bits of its words). The fingerprints of the test items' windows are
-indexed four times, by each block of 16 bits: two fingerprints within three bits
-agree in at least one block, so the lookup finds every window within the radius,
-identical windows always among them. Candidates are verified by the weighted
-similarity of their word shingles, and where ``exact`` is set by the words
-themselves.
+the weighted bits of its words). The window has the size of the passages that
+are asked for: the shortest item, or the shortest part of one that counts. The
+fingerprints of the items' windows are indexed once for each of ``radius`` + 1
+blocks of their bits: two fingerprints within the radius agree in at least one
+block, so the lookup finds every window within it, identical ones always among
+them. Candidates are verified by the exact weighted similarity of their word
+shingles; a stricter rule on the words can follow, for which ``exact`` tells
+whether all words of a window are the item's.
 
 The items are a stated query set: they are sent to the tasks in blocks of
 bounded size, and the corpus is read once per block, without any shuffle of it.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palimp.llm.words import grams, mix, slices, text_buffer, words
 
-BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 3
+BITS = 64
 #: Characters outside ASCII whose lower-case form begins with an ASCII letter.
 _LOWERED = {"K": "k", "İ": "i"}
 #: Pairs and words that are held at once.
@@ -42,7 +44,7 @@ def simhashes(h: np.ndarray, weight: np.ndarray, at: np.ndarray, window: int) ->
         return out
     sums = np.zeros(len(h) + 1, np.int16)  # differences are right modulo 2**16
     end = at + window
-    for bit in range(BLOCKS * BLOCK_BITS):
+    for bit in range(BITS):
         signed = np.where((h >> np.uint64(bit)) & np.uint64(1), weight, -weight)
         np.cumsum(signed, out=sums[1:], dtype=np.int16)
         out |= ((sums[end] - sums[at]) > 0).astype(np.uint64) << np.uint64(bit)
@@ -50,9 +52,12 @@ def simhashes(h: np.ndarray, weight: np.ndarray, at: np.ndarray, window: int) ->
 
 
 class Index:
-    """The windows of a block of items by each 16-bit block of their fingerprints."""
+    """The windows of a block of items by each of radius + 1 blocks of their fingerprints' bits."""
 
-    def __init__(self, items: np.ndarray, texts: list[str], window: int, shingle: int) -> None:
+    def __init__(self, items: np.ndarray, texts: list[str], window: int, shingle: int, radius: int) -> None:
+        self.radius = radius
+        cuts = [BITS * b // (radius + 1) for b in range(radius + 2)]
+        self.blocks = [(lo, min(hi - lo, 16)) for lo, hi in zip(cuts, cuts[1:])]  # first bit and number of bits
         raw, offsets = text_buffer(pa.array(texts, pa.string()))
         h, text, length = words(raw, offsets, commands=True)
         gram, of, at = grams(h, text, window)
@@ -65,18 +70,18 @@ class Index:
         self.owner = items[pairs[:, 1]]
         self.shingles = window_shingles(h, weight, at[first], window, shingle)
         self.order, self.start = [], []
-        for b in range(BLOCKS):
+        for b, (_, bits) in enumerate(self.blocks):
             key = self.block(self.fingerprint, b)
             self.order.append(np.argsort(key, kind="stable"))
-            self.start.append(np.searchsorted(key[self.order[-1]], np.arange((1 << BLOCK_BITS) + 1)))
+            self.start.append(np.searchsorted(key[self.order[-1]], np.arange((1 << bits) + 1)))
 
-    @staticmethod
-    def block(fingerprint: np.ndarray, b: int) -> np.ndarray:
-        return ((fingerprint >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+    def block(self, fingerprint: np.ndarray, b: int) -> np.ndarray:
+        first, bits = self.blocks[b]
+        return ((fingerprint >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
     def candidates(self, fingerprint: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All (window, item window) within the radius; a pair may come more than once."""
-        for b in range(BLOCKS):
+        for b in range(len(self.blocks)):
             key = self.block(fingerprint, b)
             start = self.start[b][key]
             count = self.start[b][key + 1] - start
@@ -89,7 +94,7 @@ class Index:
                 w, c = hit[lo:hi], count[hit[lo:hi]]
                 left = np.repeat(w, c)
                 right = self.order[b][np.repeat(start[w] - (np.cumsum(c) - c), c) + np.arange(len(left))]
-                near = np.bitwise_count(fingerprint[left] ^ self.fingerprint[right]) <= RADIUS
+                near = np.bitwise_count(fingerprint[left] ^ self.fingerprint[right]) <= self.radius
                 yield left[near], right[near]
                 lo = hi
 
@@ -117,7 +122,7 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return out
 
 
-def _scan(index: Index, window: int, shingle: int, least: float, exact: bool):
+def _scan(index: Index, window: int, shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch["text"])
@@ -136,23 +141,20 @@ def _scan(index: Index, window: int, shingle: int, least: float, exact: bool):
                     for w, i in index.candidates(fingerprint):
                         if not len(w):
                             continue
-                        if exact:  # the words themselves; their similarity is then 1
-                            ok = _grams_at(hh, at[w], window) == index.gram[i]
-                            w, i = w[ok], i[ok]
-                        if len(w):
-                            score = weighted_similarity(window_shingles(hh, ww, at[w], window, shingle), (index.shingles[0][i], index.shingles[1][i]))
-                            ok = score >= least
-                            found.append((tt[at[w[ok]]] + lo, i[ok], score[ok]))
+                        score = weighted_similarity(window_shingles(hh, ww, at[w], window, shingle), (index.shingles[0][i], index.shingles[1][i]))
+                        ok = score >= least - 1e-9
+                        w, i = w[ok], i[ok]
+                        found.append((tt[at[w]] + lo, i, score[ok], _grams_at(hh, at[w], window) == index.gram[i]))
                 if not found:
                     continue
-                doc, win, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+                doc, win, score, exact = (np.concatenate([f[k] for f in found]) for k in range(4))
                 n = index.owner_start[win + 1] - index.owner_start[win]
-                doc, score = np.repeat(doc, n), np.repeat(score, n)
+                doc, score, exact = np.repeat(doc, n), np.repeat(score, n), np.repeat(exact, n)
                 owner = index.owner[np.repeat(index.owner_start[win] - (np.cumsum(n) - n), n) + np.arange(len(doc))]
-                order = np.lexsort((-score, owner, doc))
-                doc, owner, score = doc[order], owner[order], score[order]
+                order = np.lexsort((~exact, -score, owner, doc))  # an exact window has the best score
+                doc, owner, score, exact = doc[order], owner[order], score[order], exact[order]
                 first = np.append(True, (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])) if len(doc) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.array(owner[first]), pa.array(score[first])], ["id", "item_id", "similarity"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.array(owner[first]), pa.array(score[first]), pa.array(exact[first])], ["id", "item_id", "similarity", "exact"])
 
     return run
 
@@ -164,13 +166,15 @@ def _grams_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return g
 
 
-def find_leaks(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = 12, shingle: int = 2, least: float = 1.0, exact: bool = True, block_chars: int = 4_000_000) -> DataFrame:
-    """id, item_id and similarity of every corpus text with a window of an item in it.
+def find_leaks(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = 12, shingle: int = 2, radius: int = 3, least: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
+    """id, item_id, similarity and exact of every corpus text with a window like one of an item.
 
     Windows have ``window`` words: runs of a-z and 0-9 of the lower-cased text in
-    which a backslash with the letters after it is a blank. With ``exact`` the
-    words of the window are the item's, else windows within three bits of an
-    item's SimHash whose weighted shingle similarity is at least ``least`` count.
+    which a backslash with the letters after it is a blank. Windows within
+    ``radius`` bits of an item's SimHash count whose weighted similarity over
+    shingles of ``shingle`` words is at least ``least``; of several, the best is
+    told, and whether its words are the item's, one by one (such windows are
+    always found). Others are missed where an edit turns more bits than the radius.
     Null, empty and short texts (fewer words than a window) hold and are no leak;
     corpus rows of the same id give one row per item each has; items that share
     a passage are all reported. ``item_id`` must be a long. Items are taken in
@@ -181,7 +185,7 @@ def find_leaks(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame,
     rows = corpus.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), lowered(F.col(text_col)).alias("text"))
     asked = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), lowered(F.col(item_text)).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, item_id long, similarity double"
+    schema = f"id {kind}, item_id long, similarity double, exact boolean"
     out = None
     total = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // (block_chars // 2)))
@@ -190,11 +194,11 @@ def find_leaks(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame,
         block = block.collect()
         if not block:
             continue
-        index = Index(np.array([r.item_id for r in block], np.int64), [r.text for r in block], window, shingle)
+        index = Index(np.array([r.item_id for r in block], np.int64), [r.text for r in block], window, shingle, radius)
         if not len(index.gram):
             continue
-        found = rows.mapInArrow(_scan(index, window, shingle, least, exact), schema)
+        found = rows.mapInArrow(_scan(index, window, shingle, least), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return rows.sparkSession.createDataFrame([], schema)
-    return out.groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"))
+    return out.groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("exact").alias("exact"))

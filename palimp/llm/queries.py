@@ -86,10 +86,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article with the test items it has 12 consecutive words of."""
+    """Every article with the test items it has 12 consecutive words of: of the similar passages of 12 words, those with the item's words."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     items = table(spark, sf_dir, "eval_items", "item_id", "text")
-    return leakage.find_leaks(documents, "doc_id", "text", items, "item_id", "text").select(F.col("id").alias("doc_id"), "item_id")
+    return leakage.find_leaks(documents, "doc_id", "text", items, "item_id", "text").where("exact").select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p8_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with the test items that a passage of it resembles, in the size of the shortest item, edited or not."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    items = table(spark, sf_dir, "eval_items", "item_id", "text")
+    return leakage.find_leaks(documents, "doc_id", "text", items, "item_id", "text", window=24, radius=5).withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +111,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p5_found, p5_redacted, p7_packing, p7_fill, p8_found, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p5_found, p5_redacted, p7_packing, p7_fill, p8_found, p8_edited, p9_found, p9_sentences)}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
