@@ -25,16 +25,15 @@ from pyspark.sql import functions as F
 
 from palimp.llm.fields import long_fields
 
-# Characters of other alphabets and the Latin letters they look like.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝӏүѵԍгь", "ABESIJKMHOPCTYXYQWaesijopcyxhdqwlyvGrb"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳαγικνορυϲτ", "ABEZHIKMNOPTYXCjayiKvopucT"))
-ARMENIAN = dict(zip("ՍՏՕՈԼհոսօզյցքաԱ", "USOnLhnuoqjgfwU"))
-for _table, _wrong in ((CYRILLIC, "Ԍгь"), (GREEK, "κτ"), (ARMENIAN, "ՈաԱ")):
-    for _c in _wrong:
-        _table.pop(_c, None)
-GREEK |= {"κ": "k", "τ": "t", "η": "n", "ρ": "p", "χ": "x", "ω": "w", "ε": "e", "ϵ": "e", "β": "ß"}
-CYRILLIC |= {"к": "k", "т": "t", "м": "m", "н": "h", "в": "b", "г": "r", "п": "n", "З": "3"}
-CYRILLIC.pop("З")
+# Letters of other alphabets and the Latin letters they look like, in the order of the alphabets.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜавгеіјкмнопрстухһԁԛԝӏүѵѕ", "ABESIJKMHOPCTYXYQWabreijkmhonpctyxhdqwlyvs"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳαβγεηικνορτυχωϲϵ", "ABEZHIKMNOPTYXCjaßyenikvoptuxwce"))
+ARMENIAN = dict(zip("ՍՏՕԼհոսօզյցք", "USOLhnuoqjgf"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏔᏙᏚᏞᏟᏢᏦ", "DRTAJEWMHYGZbWVSLCPK"))
+COPTIC = dict(zip("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABEHIKMNOPCTYXopc"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+# Latin letters of phonetic writing and the plain ones they look like.
+PHONETIC = dict(zip("ɑɡɩɪʀɴʙʜʟ", "agiIRNBHL"))
 
 #: Forms of letters, digits and ASCII signs: full-width, ligatures, mathematical alphabets.
 _FORMS = (
@@ -42,16 +41,22 @@ _FORMS = (
     r"ℳ-ℴℼ-ℿⅅ-ⅉ"
 )
 #: Java's pattern of every character that may make a text a case.
-GATE = r"[" + _FORMS + r"\x{1D400}-\x{1D7FF}\p{M}\p{Cf}\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}]|[\p{Zs}&&[^ ]]"
+GATE = r"[" + _FORMS + r"\x{1D400}-\x{1D7FF}\p{M}\p{Cf}\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}\p{IsCherokee}\p{IsCoptic}\p{IsLisu}ɑɡɩɪʀɴʙʜʟⅠ-ⅿ]|[\p{Zs}&&[^ ]]"
 
 _FORM = regex.compile("[" + _FORMS + r"\U0001D400-\U0001D7FF]")
 _MARK, _FORMAT, _BLANK, _WORD = regex.compile(r"\p{M}"), regex.compile(r"\p{Cf}"), regex.compile(r"(?! )\p{Zs}"), regex.compile(r"\p{L}+")
-_SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Greek", "Cyrillic", "Armenian")}
+#: A Roman numeral of one letter inside a word.
+_NUMERAL = regex.compile(r"(?<=\p{Latin})[ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ]|[ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ](?=\p{Latin})")
+#: A word of ASCII letters but for some of phonetic writing.
+_PHONETIC_WORD = regex.compile(rf"[A-Za-z{''.join(PHONETIC)}]+")
+_SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee", "Coptic", "Lisu")}
+#: The alphabets whose mixture makes a text a case; a mixture with others is told apart.
+FOUR = frozenset(("Latin", "Greek", "Cyrillic", "Armenian"))
 _ALL = frozenset(_SCRIPTS)
-_TO_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN}
+_TO_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **COPTIC, **LISU}
 #: (script, Latin letter) to the letter of that script that looks like it.
 _FROM_LATIN: dict[tuple[str, str], str] = {}
-for _s, _t in (("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN)):
+for _s, _t in (("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN), ("Cherokee", CHEROKEE), ("Coptic", COPTIC), ("Lisu", LISU)):
     for _c, _l in _t.items():
         _FROM_LATIN.setdefault((_s, _l), _c)
 #: Scripts whose words need joiners as they stand.
@@ -97,7 +102,7 @@ def consistent(word: str, around: str | None = None) -> str:
     if not sets and word[0] == "μ" and word[1:].isascii():  # a unit: the micro sign is the form beside Latin letters
         return "µ" + word[1:]
     options = []
-    for s in ("Latin", "Cyrillic", "Greek", "Armenian"):
+    for s in ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu"):
         letters = [spelled(c, s) for c in word]
         if all(letters):
             options.append((s == around, sum(s in scripts(c) and scripts(c) != _ALL for c in word), s == "Latin", "".join(letters)))
@@ -109,16 +114,20 @@ def consistent(word: str, around: str | None = None) -> str:
 
 
 def kinds(text: str) -> list[str]:
-    """What makes the text a case: form, mark, invisible, blank, mixed."""
+    """What makes the text a case: form, mark, invisible, blank, mixed; a mixture with an alphabet beyond the four is ``other``."""
     out = [k for k, p in (("form", _FORM), ("mark", _MARK), ("invisible", _FORMAT), ("blank", _BLANK)) if p.search(text)]
-    if not text.isascii() and any(not resolved(w) for w in _WORD.findall(text)):
-        out.append("mixed")
+    if not text.isascii() and (mixtures := [w for w in _WORD.findall(text) if not resolved(w)]):
+        if any(len({s for c in w if len(own := scripts(c)) == 1 for s in own & FOUR}) > 1 for w in mixtures):
+            out.append("mixed")
+        if any({s for c in w if len(own := scripts(c)) == 1 for s in own} - FOUR for w in mixtures):
+            out.append("other")
     return out
 
 
 def plain_forms(text: str) -> str:
     """The text without compatibility forms, invisible characters, odd blanks and separate accents."""
     text = _FORM.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
+    text = _NUMERAL.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
     if _FORMAT.search(text):
         text = _FORMAT.sub(lambda m: m.group() if m.group() in "‌‍" and m.start() and _JOINED.match(text[m.start() - 1]) else "", text)
     return unicodedata.normalize("NFC", _BLANK.sub(" ", text))
@@ -139,6 +148,8 @@ def normalize(text: str) -> str:
         w = m.group()
         if w.isascii():
             return w
+        if sum(c in PHONETIC for c in w) == 1 and len(w) > 3 and _PHONETIC_WORD.fullmatch(w):
+            return "".join(PHONETIC.get(c, c) for c in w)
         if len(w) > 1 and around and resolved(w) and around not in resolved(w):
             return consistent(w, around)
         return consistent(w)
@@ -155,8 +166,9 @@ def find_lookalikes(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """id, field, kinds and the consistent text of each field that is a case.
 
     ``kinds`` holds form (full-width, ligature or mathematical), mark (combining),
-    invisible (format character), blank (other than U+0020) and mixed (a word with
-    letters of several alphabets). Null and empty texts and rows without an id are
+    invisible (format character), blank (other than U+0020), mixed (a word with
+    letters of several of Latin, Greek, Cyrillic and Armenian) and other (a word
+    that mixes another alphabet in). Null and empty texts and rows without an id are
     no cases. Repeated rows give one row; deliveries with different texts give one
     each. The input's other columns are ignored.
     """

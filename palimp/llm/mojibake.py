@@ -12,9 +12,11 @@ correct text that happens to be decodable stays.
 
 from __future__ import annotations
 
+import encodings.aliases
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -25,16 +27,29 @@ from palimp.llm.fields import long_fields
 from palimp.runtime import checkpoint
 
 LOST = "�"
-#: Encodings that UTF-8 may have been read in; bytes a table leaves open are read as control characters.
+#: Encodings that UTF-8 is mostly read in, tried first; :func:`all_encodings` has the others.
 READINGS = ("cp1252", "mac_roman", "cp850", "cp437", "cp1251", "cp1250", "koi8_r", "cp866", "iso8859_15")
 #: Single-byte encodings that may have been confused with each other.
-CONFUSED = [(a, b) for a in ("cp1251", "koi8_r", "cp866", "cp1250", "cp1252", "mac_roman", "cp850") for b in ("cp1252", "cp1251", "koi8_r", "mac_roman", "cp850", "cp866") if a != b]
-#: Texts that may be garbled: a lost character, or two non-ASCII ones in a row.
-GATE = r"\x{FFFD}|[^\x00-\x7F]{2}"
+CONFUSED = [(a, b) for a in ("cp1252", "cp1251", "koi8_r", "cp866", "cp1250", "mac_roman", "cp850") for b in ("cp1252", "cp1251", "koi8_r", "mac_roman", "cp850", "cp866") if a != b]
 
 
-def _table(codec: str) -> dict[str, int]:
-    """Characters to bytes; for the western reading also those of Latin-1."""
+@lru_cache(1)
+def all_encodings() -> tuple[str, ...]:
+    """READINGS and every other single-byte encoding of the standard library that leaves ASCII as it is."""
+    out = list(READINGS)
+    plain = "".join(map(chr, range(0x20, 0x7F)))
+    for codec in sorted(set(encodings.aliases.aliases.values())):
+        try:
+            if codec not in out and len("é1".encode(codec, "replace")) == 2 and plain.encode(codec).decode("ascii") == plain and codec not in ("ascii", "latin_1"):
+                out.append(codec)
+        except (LookupError, UnicodeError, ValueError):
+            pass
+    return tuple(out)
+
+
+@lru_cache(None)
+def table(codec: str) -> dict[str, int]:
+    """Characters to bytes; bytes an encoding leaves open are read as control characters, for the western reading also those of Latin-1."""
     out = {}
     for b in range(128, 256):
         try:
@@ -43,55 +58,82 @@ def _table(codec: str) -> dict[str, int]:
             out[chr(b)] = b
     if codec == "cp1252":
         out |= {chr(b): b for b in range(128, 256)}
-    return out
+    return {c: b for c, b in out.items() if not c.isascii()}
 
 
-TABLES = {c: _table(c) for c in READINGS}
-
-
-def _sequence(table: dict[str, int]) -> regex.Pattern:
-    """The pattern of one character of UTF-8 read in the table's encoding."""
-    cls = lambda lo, hi: "[" + "".join(regex.escape(c) for c, b in table.items() if lo <= b <= hi) + "]"
+@lru_cache(None)
+def sequence(codec: str) -> regex.Pattern:
+    """The pattern of one character of UTF-8 read in an encoding."""
+    cls = lambda lo, hi: "[" + "".join(regex.escape(c) for c, b in table(codec).items() if lo <= b <= hi) + "]"
     more = cls(0x80, 0xBF)
     return regex.compile(f"{cls(0xC2, 0xDF)}{more}|{cls(0xE0, 0xEF)}{more}{{2}}|{cls(0xF0, 0xF4)}{more}{{3}}")
 
 
-SEQUENCES = {c: _sequence(t) for c, t in TABLES.items()}
-_RUNS = {c: regex.compile(f"(?:{p.pattern})+") for c, p in SEQUENCES.items()}
+@lru_cache(None)
+def runs(codec: str) -> regex.Pattern:
+    return regex.compile(f"(?:{sequence(codec).pattern})+")
+
+
 _PARTS = regex.compile(r"[^\x00-\x7F]+")
 
 
+@lru_cache(16)
+def lone_leads(readings: tuple[str, ...]) -> dict[str, str]:
+    """First characters of two whose second, a no-break space, was made a blank, with the character they were.
+
+    Such a pair is left alone between words of capitals, where it may be meant.
+    """
+    out = {}
+    for codec in readings:
+        t = {} if ">" in codec else table(codec)
+        if t.get("\xa0") == 0xA0:
+            out |= {c: bytes([b, 0xA0]).decode() for c, b in t.items() if 0xC3 <= b <= 0xDF}
+    return out
+
+
 def undo(text: str, codec: str) -> str | None:
     """The text whose UTF-8 was read as ``codec`` into this one, or None."""
-    t = TABLES[codec]
+    t = table(codec)
     try:
         return bytes(t[c] for c in text).decode("utf-8")
     except (KeyError, UnicodeDecodeError):
         return None
 
 
-def explain(garbled: str, clean: str, depth: int = 3) -> tuple[str, ...] | None:
-    """The wrong readings, last first, that turned one run into the other; () for lost characters."""
+@lru_cache(1 << 16)
+def explain(garbled: str, clean: str) -> tuple[str, ...] | None:
+    """The wrong readings, last first, that turned one run into the other; () for lost characters.
+
+    Each reading undone makes a run shorter, so the search ends by itself however
+    many there were. Encodings beyond the usual ones are tried for the last reading.
+    """
     if set(garbled) == {LOST} and clean and LOST not in clean:
         return ()
     frontier = [((), garbled)]
-    for _ in range(depth):
+    while frontier:
         nxt = []
         for chain, text in frontier:
-            for codec in READINGS:
+            for codec in READINGS if chain else all_encodings():
                 back = undo(text, codec)
                 if back is None:
                     continue
                 if back == clean:
                     return (*chain, codec)
-                nxt.append(((*chain, codec), back))
+                if len(back) > len(clean):
+                    nxt.append(((*chain, codec), back))
         frontier = nxt
-    for a, b in CONFUSED:
-        try:
-            if len(clean) > 1 and clean.encode(a).decode(b) == garbled:
-                return (f"{a}>{b}",)
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            pass
+    return None
+
+
+def confusion(different: list[tuple[str, str]]) -> str | None:
+    """The confusion of two single-byte encodings that explains all differing runs, which must be more than one character."""
+    if sum(len(y) for _, y in different) > 1:
+        for a, b in CONFUSED:
+            try:
+                if all(y.encode(a).decode(b) == x for x, y in different):
+                    return f"{a}>{b}"
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                pass
     return None
 
 
@@ -120,7 +162,7 @@ def _loosely(garbled: str, clean: str) -> list[tuple[str, str]]:
 
 def suspect(text: str) -> bool:
     """Whether a text has a lost character or a run that some reading decodes."""
-    return LOST in text or any(p.search(text) for p in SEQUENCES.values())
+    return LOST in text or any(sequence(c).search(text) for c in READINGS)
 
 
 _WINDOW = r"(?<![^ \n])(?:[^ \n]+ )?[^ \n]*[^\x00-\x7F][^ \n]*(?: [^ \n]+)?"
@@ -164,17 +206,23 @@ def learn(texts: DataFrame, least: int = 2) -> tuple[list[str], set[str], DataFr
     a table.
     """
     rows = checkpoint(_flag_suspects(windows(texts)))
-    twins = rows.where(F.col("skeleton").isNotNull()).groupBy("skeleton").agg(F.max_by("text", F.struct(~F.col("suspect"), "count")).alias("clean"), F.max(F.col("suspect")).alias("any"))
-    pairs = rows.where("suspect").join(twins.where("any"), "skeleton").where(F.col("text") != F.col("clean")).select("text", "clean", "count")
+    twins = rows.where(F.col("skeleton").isNotNull()).groupBy("skeleton").agg(F.max_by("text", F.struct(~F.col("suspect"), "count")).alias("clean"), F.count("*").alias("_texts"), (~F.min("suspect")).alias("sure"))
+    pairs = rows.join(twins.where("_texts > 1"), "skeleton").where(F.col("text") != F.col("clean")).select("text", "clean", "count", "sure")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for b in batches:
-            for text, clean, n in zip(*(b[c].to_pylist() for c in ("text", "clean", "count"))):
-                for x, y in aligned(text, clean):
-                    chain = explain(x, y)
+            for text, clean, n, sure in zip(*(b[c].to_pylist() for c in ("text", "clean", "count", "sure"))):
+                different = aligned(text, clean)
+                chains = [explain(x, y) for x, y in different]
+                if sure and different and not any(c is not None for c in chains) and (confused := confusion(different)):
+                    chains = [(confused,)] * len(different)
+                for (x, y), chain in zip(different, chains):
                     if chain is None or LOST in y:
                         continue
+                    if chain and ">" in chain[0]:  # such a twin passed for clean text
+                        for c in x:
+                            found["char", c, ""] -= n
                     for reading in chain:
                         found["reading", reading, ""] += n
                     for c in y if chain else ():
@@ -205,7 +253,10 @@ _MANY = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Cyrillic}
 
 def repair(text: str, readings: list[str], chars: set[str]) -> str:
     """The text with every run restored that a learned reading decodes into characters of clean text."""
-    for _ in range(4):
+    leads = lone_leads(tuple(readings))
+    if leads:
+        text = regex.sub(rf"(?<=\p{{Ll}}|[{''.join(leads)}].)([{''.join(leads)}]) (?=( ?)\p{{Ll}})", lambda m: (leads[m[1]] + ("" if m[2] else " ")) if leads[m[1]] in chars else m[0], text)
+    while True:
         before = text
         for codec in readings:
             if ">" in codec:
@@ -221,17 +272,23 @@ def repair(text: str, readings: list[str], chars: set[str]) -> str:
                 return m.group()
 
             def deeper(back: str) -> bool:
-                return any((x := undo(back, c)) is not None and all(y in chars or _MANY.match(y) for y in x) for c in readings if ">" not in c)
+                """Whether undoing more readings ends in characters of clean text; each makes the run shorter."""
+                return any((x := undo(back, c)) is not None and (all(y in chars or _MANY.match(y) for y in x) or deeper(x)) for c in readings if ">" not in c)
 
-            if SEQUENCES[codec].search(text):
-                text = _RUNS[codec].sub(one, text)
+            if sequence(codec).search(text):
+                text = runs(codec).sub(one, text)
         if text == before:
             return text
     return text
 
 
 def _confused_words(text: str, readings: list[str], chars: set[str]) -> str:
-    """Whole non-ASCII words restored from a learned confusion of two single-byte encodings."""
+    """Runs restored from a learned confusion of two single-byte encodings.
+
+    A run of many characters must come back in a script of many, as it was not
+    before. A text whose non-ASCII characters are not all those of clean text is
+    turned as a whole, if all of them then are.
+    """
     for r in readings:
         if ">" in r:
             a, b = r.split(">")
@@ -244,9 +301,39 @@ def _confused_words(text: str, readings: list[str], chars: set[str]) -> str:
                 return back if len(back) > 2 and all(_MANY.match(c) for c in back) and not all(_MANY.match(c) for c in m.group()) else m.group()
 
             text = _PARTS.sub(one, text)
+            odd = set("".join(_PARTS.findall(text)))
+            if len(odd) > 1 and not odd <= chars and LOST not in odd:
+                try:
+                    turned = _PARTS.sub(lambda m: m.group().encode(b).decode(a), text)
+                except (UnicodeEncodeError, UnicodeDecodeError):
+                    continue
+                if set("".join(_PARTS.findall(turned))) <= chars:
+                    text = turned
     return text
 
 
+def strays(readings: list[str], chars: set[str]) -> str:
+    """The characters that learned confusions make of those of clean text, and that clean text lacks."""
+    out = set()
+    for r in readings:
+        if ">" in r:
+            a, b = r.split(">")
+            out |= {c.encode(a, "ignore").decode(b, "ignore") for c in chars if not _MANY.match(c)}
+    return "".join(sorted(c for c in out - chars if len(c) == 1 and not c.isascii()))
+
+
+def gated(text: Column, readings: list[str], chars: set[str]) -> Column:
+    """Whether anything learned may change a text: it has two non-ASCII characters in a row, a lost one, a first character left
+    alone, or one that only a confusion of encodings makes."""
+    pattern = r"\x{FFFD}|[^\x00-\x7F]{2}"
+    if leads := lone_leads(tuple(readings)):
+        pattern += "|[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(leads)) + "] "
+    out = text.rlike(pattern)
+    if stray := strays(readings, chars):
+        out = out | (F.translate(text, stray, "") != text)
+    return text.rlike(r"[^\x00-\x7F]") & out
+
+
 def find_garbled(df: DataFrame, id_col: str, fields: list[str], least: int = 2) -> DataFrame:
     """id, field, stored text, restored text and whether nothing garbled is left, for every affected field.
 
@@ -271,7 +358,7 @@ def find_garbled(df: DataFrame, id_col: str, fields: list[str], least: int = 2)
             take = pa.array([k for k, _ in out], pa.int64())
             yield pa.RecordBatch.from_arrays([b["id"].take(take), b["field"].take(take), b["text"].take(take), pa.array([f for _, f in out], pa.string())], ["id", "field", "text", "restored"])
 
-    found = texts.where(F.col("text").rlike(GATE)).mapInArrow(run, f"id {kind}, field string, text string, restored string")
+    found = texts.where(gated(F.col("text"), readings, chars)).mapInArrow(run, f"id {kind}, field string, text string, restored string")
     found = checkpoint(found.distinct())
     hurt = F.contains("restored", F.lit(LOST))
     # Each text with a lost character gets the twins of its own windows; a text has few.

@@ -38,7 +38,8 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of changes that look ordinary but hold other characters."""
     changes = table(spark, sf_dir, "changes", "id", "old_text", "new_text")
-    return confusables.find_lookalikes(changes, "id", ["old_text", "new_text"]).select(F.col("id").alias("change_id"), "field").distinct()
+    found = confusables.find_lookalikes(changes, "id", ["old_text", "new_text"]).where(F.arrays_overlap("kinds", F.array(*map(F.lit, ("form", "mark", "invisible", "blank", "mixed")))))
+    return found.select(F.col("id").alias("change_id"), "field").distinct()
 
 
 def p3_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,13 @@ NEVER_LAST = frozenset(
 )
 # Abbreviations that may be the last token of a sentence.
 MAY_BE_LAST = frozenset("etc u.s u.k u.n e.u u.s.a a.m p.m al ff f jr sr inc ltd co corp bros usw u.s.w etcétera д др г гг в вв н.э т.д т.п т.е к ph.d b.c a.d d.c".split())
+# Those of them that mostly go before a name, and the words that begin a sentence after them.
+STATES = frozenset("u.s u.k u.n e.u u.s.a".split())
+SENTENCE_WORDS = frozenset(
+    """the a an this that these those it its he she they we you i his her their our my there here in on at by for from with without to of as if when while where after before since because although however but and or so then
+    thus hence therefore moreover furthermore further also still yet all both each every many most some several such no not none another other others once only even today now later earlier first second third finally what who why how
+    which whether during under over between among through despite unlike like according given using based both either neither until instead nevertheless nonetheless meanwhile similarly conversely overall""".split()
+)
 # Names of months after an ordinal number.
 MONTHS = frozenset("Januar Jänner Februar März Maerz April Mai Juni Juli August September Oktober November Dezember Jan Feb Apr Jun Jul Aug Sep Sept Okt Nov Dez M\\\"arz Jahrhundert Jh".split())
 _LONGEST = max(map(len, DICTIONARY))
@@ -45,10 +52,10 @@ _REACH = 16
 _BLOCK = re.compile(r"(?:[^\n]*[^\n \t\r][^\n]*\n?)+")
 _OPEN = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "``": "''", "„": "“", "‹": "›", "《": "》", "\\glqq": "\\grqq", "\\og": "\\fg"}
 #: Quotation signs, brackets and terminators; a point inside a number, a name or an address is none.
-_TOKEN = re.compile(r"``|''|\\(?:glqq|grqq|og|fg)(?![a-zA-Z])(?:\{\})?|[“”„«»「」『』《》（）()\[\]‹›]|[.]+(?:[!?]+|(?=[\s)\]'”»“›（）」』]|$|\\grqq|\\fg))|[!?…。！？．｡។៕။؟।॥۔]+[.!?…]*")
+_TOKEN = re.compile(r"``|''|\\(?:glqq|grqq|og|fg)(?![a-zA-Z])(?:\{\})?|[“”„«»「」『』《》（）()\[\]‹›]|[.]+(?:[!?]+|(?=[\s)\]'”»“›（）」』]|$|\\grqq|\\fg))|[!?…።፧։。！？．｡។៕။؟।॥۔]+[.!?…]*")
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Khmer}\p{Lao}\p{Myanmar}ー]")
 _WIDE = frozenset("。！？．｡។៕။")
-_ENDS = _WIDE | frozenset(".!?…؟।॥۔")
+_ENDS = _WIDE | frozenset(".!?…؟।॥۔።፧։")
 #: A blank between two characters of scripts without spaces.
 _BLANK_GAP = regex.compile(rf"(?<={_SPACELESS.pattern})\s+(?={_SPACELESS.pattern})")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
@@ -151,7 +158,7 @@ def _ends(block: str, m, end: int, nxt: int, quoted: bool, led_in: bool, bracket
         return sign[-1] in "!?؟।॥۔" and _SPACELESS.match(block, nxt) is not None
     if quoted and led_in and begins in ("caseless", "lower", "sign"):
         return False
-    if sign[0] in "।॥؟۔":
+    if sign[0] in "।॥؟۔።፧։":
         return not (quoted and begins == "lower")
     if sign != ".":
         return begins != "lower"
@@ -164,6 +171,8 @@ def _ends(block: str, m, end: int, nxt: int, quoted: bool, led_in: bool, bracket
     if plain in NEVER_LAST:
         return end > m.end()
     short = plain.replace("\\,", "").rsplit(".", 1)[-1]
+    if plain in STATES and begins == "upper" and not led_in:
+        return _NEXT.match(block, nxt).group().lower().rstrip(".,;:") in SENTENCE_WORDS
     if plain in MAY_BE_LAST or plain.replace("\\,", "") in MAY_BE_LAST:
         return True
     if short in NEVER_LAST and "." in plain:

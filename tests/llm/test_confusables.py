@@ -21,6 +21,41 @@ def test_no_cases(text):
     assert kinds(text) == [] and normalize(text) == text
 
 
+OTHERS = [("Ꭺpple", "Apple"), ("ɑpple", "apple"), ("ʀussia", "Russia"), ("ⲟpen", "open"), ("gооgⅼe", "google"), ("ꓮlarm", "Alarm"), ("Xⅼ", "Xl")]
+
+
+@pytest.mark.parametrize("text,want", OTHERS)
+def test_other_alphabets(text, want):
+    assert normalize(text) == want and normalize(want) == want
+    assert "mixed" not in kinds(text) or "о" in text
+
+
+@pytest.mark.parametrize("text", ["[ɡɪt] [ʀ]", "kʰæt ʃɪp", "ᏣᎳᎩ", "ⲕⲟⲡⲧ", "Kapitel Ⅳ"])
+def test_words_in_those_alphabets_stay(text):
+    assert normalize(text) == text and "mixed" not in kinds(text)
+
+
+def test_spellings_against_all_scripts():
+    """The script taken for a mixed word spells all of it; of several, it keeps the most letters as they are."""
+    from palimp.llm.confusables import _ALL, _FROM_LATIN, _TO_LATIN, consistent, resolved, scripts
+
+    letters = ["о", "р", "с", "a", "b", "ο", "ν", "n", "ո", "h"]
+    for a in letters:
+        for b in letters:
+            for c in letters:
+                w = a + b + c
+                got = consistent(w)
+                if resolved(w):
+                    assert got == w
+                    continue
+                best = {}
+                for s in sorted(_ALL):
+                    spelling = [x if s in scripts(x) else _TO_LATIN.get(x) if s == "Latin" else _FROM_LATIN.get((s, _TO_LATIN.get(x, x))) for x in w]
+                    if all(spelling):
+                        best["".join(spelling)] = max(best.get("".join(spelling), 0), sum(s in scripts(x) for x in w))
+                assert got == w if not best else best.get(got) == max(best.values()), (w, got, best)
+
+
 def test_whole_script_confusable_in_latin_text():
     assert normalize("the сор was in the house and stayed there") == "the cop was in the house and stayed there"
     assert normalize("сор был") == "сор был"
