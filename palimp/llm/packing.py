@@ -168,3 +168,19 @@ def fill(packed: DataFrame, packs: DataFrame) -> DataFrame:
         .join(F.broadcast(packs.select("pack_id", "capacity_tokens").distinct()), "pack_id")
         .select("pack_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("used"))
     )
+
+
+def faults(packed: DataFrame, packs: DataFrame) -> DataFrame:
+    """pack_id, items, and how many containers hold more than their capacity, items are not whole, and items are split without need.
+
+    An item is whole if its pieces are numbered from 0 and each begins where the one before ends.
+    """
+    capacity = F.broadcast(packs.select("pack_id", "capacity_tokens").distinct())
+    bins = packed.groupBy("pack_id", "bin_id").agg(F.sum("n_tokens").alias("n")).join(capacity, "pack_id")
+    over = bins.groupBy("pack_id").agg(F.count(F.when(F.col("n") > F.col("capacity_tokens"), 1)).alias("overfull"))
+    items = packed.groupBy("pack_id", "id").agg(
+        F.count("*").alias("k"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count_distinct("start_token").alias("starts"), F.min("start_token").alias("first")
+    ).join(capacity, "pack_id")
+    whole = (F.col("last") == F.col("k") - 1) & (F.col("n") == F.col("end")) & (F.col("starts") == F.col("k")) & (F.col("first") == 0)
+    of = items.groupBy("pack_id").agg(F.count("*").alias("items"), F.count(F.when(~whole, 1)).alias("broken"), F.count(F.when((F.col("k") > 1) & (F.col("n") <= F.col("capacity_tokens")), 1)).alias("needless"))
+    return of.join(over, "pack_id").select("pack_id", "items", "overfull", "broken", "needless")

@@ -123,9 +123,9 @@ def tokenize(texts: list[str]) -> Tokens:
     text = np.searchsorted(begin, start, "right") - 1
     length = end - start
     # Prefix sums give a hash of any run; the mix of place and value makes order count.
-    powers = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-    inside = np.minimum(np.arange(len(cp)) - np.repeat(start, np.diff(np.append(start, len(cp)))) if start[0] == 0 else np.arange(len(cp)) - np.concatenate([np.full(start[0], 0), np.repeat(start, np.diff(np.append(start, len(cp))))]), 63)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((fold.astype(np.uint64) + np.uint64(1)) * powers[np.maximum(inside, 0)])])
+    inside = np.arange(len(cp)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(cp)]])))
+    powers = mix(np.arange(1, int(inside.max()) + 2, dtype=np.uint64)) | np.uint64(1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((fold.astype(np.uint64) + np.uint64(1)) * powers[inside])])
     folded = mix(sums[end] - sums[start])
 
     def affix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:

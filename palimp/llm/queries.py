@@ -86,6 +86,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the assignment: nothing, for every article and every capacity."""
+    return packing.faults(p7_packing(spark, sf_dir).withColumnRenamed("doc_id", "id"), table(spark, sf_dir, "pack_sizes"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article with the test items it has 12 consecutive words of: of the similar passages of 12 words, those with the item's words."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -112,7 +117,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p5_found, p5_redacted, p7_packing, p7_fill, p8_found, p8_edited, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_found, p3_normalized, p4_terms, p4_found, p5_found, p5_redacted, p7_packing, p7_fill, p7_faults, p8_found, p8_edited, p9_found, p9_sentences)}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT id, change_type, section, ai_risk_level FROM changes WHERE id IS NOT NULL),
@@ -157,6 +162,7 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
 ORACLES: dict[str, str] = {
     "p1_found": _P1,
     "p3_found": _P3,
+    "p7_faults": "SELECT pack_id, (SELECT count(*) FROM documents) AS items, 0::bigint AS overfull, 0::bigint AS broken, 0::bigint AS needless FROM pack_sizes",
     "p8_found": _P8,
     "p4_terms": _TERMS,
     "p4_found": f"SELECT field, value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",

@@ -4,7 +4,7 @@ import os
 import numpy as np
 import pytest
 
-from palimp.llm.packing import TOKENIZERS, best_fit_decreasing, fill, pack, token_counts
+from palimp.llm.packing import TOKENIZERS, best_fit_decreasing, faults, fill, pack, token_counts
 
 
 def plain(sizes, capacity):
@@ -53,6 +53,16 @@ def test_pack(spark):
     assert pack(sizes.limit(0), packs).count() == 0
 
 
+def test_faults_are_counted(spark):
+    packs = spark.createDataFrame([(1, 100), (2, 40)], "pack_id int, capacity_tokens int")
+    sizes = spark.createDataFrame([(k, 7 * k) for k in range(30)], "id long, n_tokens long")
+    good = pack(sizes, packs)
+    assert sorted(tuple(r) for r in faults(good, packs).collect()) == [(1, 30, 0, 0, 0), (2, 30, 0, 0, 0)]
+    # (pack, bin, item, piece, start, tokens): an overfull container, an item with a gap, and one split without need.
+    bad = spark.createDataFrame([(1, 1, 1, 0, 0, 90), (1, 1, 2, 0, 0, 20), (1, 2, 3, 0, 0, 100), (1, 3, 3, 1, 110, 50), (1, 4, 4, 0, 0, 10), (1, 5, 4, 1, 10, 10)], good.schema)
+    assert [tuple(r) for r in faults(bad, packs).collect()] == [(1, 4, 1, 1, 1)]
+
+
 @pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no vocabulary files")
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", 3), (2, "", 3), (3, None, 3), (4, "a b " * 50_000, 3), (5, "<|endoftext|>", 3)], "doc_id long, text string, n_tokens int")
