@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimp.functions.views import effective_risk, table_cell
 
+# The columns of the export, in order.
 CSV_COLUMNS = ["change_id", "section", "change_type", "source", "old_text", "new_text", "risk_level", "reason", "old_page", "new_page", "confidence", "reviewer_comment", "accepted", "table_cell"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimp.functions.views import position
+from palimp.functions.views import effective_risk, position
 
 REVIEW_FIELDS = ("reviewer_risk_level", "reviewer_comment", "accepted")
 
@@ -54,8 +54,17 @@ def apply_reviews(changes: DataFrame, patches: DataFrame, id_col: str = "id") ->
 
 
 def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
-    """The rows of a key; the filter reaches the scan."""
-    return df.where(F.col(key) == F.lit(value))
+    """The rows of a key, given as a value or as a column such as a scalar subquery; the filter on a value reaches the scan."""
+    return df.where(F.col(key) == (value if isinstance(value, Column) else F.lit(value)))
+
+
+def filter_changes(changes: DataFrame, risk: str | None = None, section: str | None = None, change_type: str | None = None) -> DataFrame:
+    """The changes with the given effective risk, section and type; what is None is left open. A null matches no given value."""
+    wanted = {"section": section, "change_type": change_type}
+    out = changes if risk is None else changes.where(effective_risk(F.col("reviewer_risk_level"), F.col("ai_risk_level")) == risk)
+    for c, value in wanted.items():
+        out = out if value is None else out.where(F.col(c) == value)
+    return out
 
 
 def read_back(comparisons: DataFrame, documents: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimp.functions.views import SEVERITY, SIGNS, effective_risk
+from palimp.functions.views import SEVERITY, SIGNS, effective_risk, table_key
 
 _RISKS = {"high_risk": "High", "medium_risk": "Medium", "low_risk": "Low", "informational": "Informational"}
 _TYPES = {
@@ -33,6 +33,13 @@ def risk_counts(changes: DataFrame, *group: str) -> DataFrame:
     return found.withColumn("severity", F.array_position(levels, F.col("risk"))).where(F.col("severity") > 0)
 
 
+def table_order(changes: DataFrame, *group: str) -> DataFrame:
+    """The tables that the changes of each group are in, with the number they are shown under and their place in the display."""
+    keys = changes.select(*group, table_key(F.col("old_table_position"), F.col("new_table_position")).alias("table_key")).where("table_key >= 0").distinct()
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("table_key"))
+    return keys.select(*group, "table_key", (F.col("table_key") + 1).alias("shown_as"), place.alias("place"))
+
+
 def group_labels(changes: DataFrame, name: str, *group: str) -> DataFrame:
     """The label of each group: sign of its highest risk, name, number of changes and counts by risk.
 

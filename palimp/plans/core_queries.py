@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from palimp.operators.align import align
 from palimp.operators.sections import one_per_seq, section_texts, split_into_sections
 from palimp.plans.compare import changes_of, compare
 from palimp.runtime import table
-from palimp.sources import blocks, txt
+from palimp.sources import blocks, docx, txt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,7 +97,7 @@ def q_block_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of one comparison: the filter is pushed to the scan."""
     changes = table(spark, sf_dir, "changes", "id", "comparison_id", "change_type")
-    return review.lookup(changes, "comparison_id", changes.agg(F.min("comparison_id")).first()[0]).distinct()
+    return review.lookup(changes, "comparison_id", changes.agg(F.min("comparison_id")).scalar()).distinct()
 
 
 @query(f"""
@@ -128,13 +129,15 @@ def q_section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_texts(_sectioned(spark, sf_dir))
 
 
-_NUM, _REST = "nullif(regexp_extract(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', 1), '')", "regexp_replace(trim(CASE WHEN regexp_matches(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$') THEN regexp_extract(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', 2) ELSE heading END), '\\s+', ' ', 'g')"
+_SP, _NOSP = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]", "^(\\p{Nd}+(?:\\.\\p{Nd}+)*)[\\s\\x{0B}\\x{85}\\p{Z}]+(.*)$"
+_NUM = f"nullif(regexp_extract(heading, '{_NOSP}', 1), '')"
+_REST = f"regexp_replace(regexp_replace(CASE WHEN regexp_matches(heading, '{_NOSP}') THEN regexp_extract(heading, '{_NOSP}', 2) ELSE heading END, '^{_SP}+|{_SP}+$', '', 'g'), '{_SP}+', ' ', 'g')"
+_LABEL_SHAPE = f"^(Page (Header|Footer)|Text Box \\p{{Nd}}+|Footnote \\p{{Nd}}+)({_SP}\\(.+\\))?$"
 
 
 @query(f"""SELECT section AS heading, {_NUM.replace('heading', 'section')} AS number, {_REST.replace('heading', 'section')} AS rest,
-  coalesce(regexp_matches({_NUM.replace('heading', 'section')}, '^\\d+(\\.0+)*$'), false) AS top_level,
-  regexp_matches(section, '^Page (Header|Footer)(\\s\\(.+\\))?$') OR regexp_matches(section, '^Text Box \\d+(\\s\\(.+\\))?$') OR regexp_matches(section, '^Footnote \\d+(\\s\\(.+\\))?$') AS label
-  FROM (SELECT DISTINCT section FROM changes WHERE section IS NOT NULL AND NOT regexp_matches(section, '[^\\x20-\\x7e]'))""")
+  coalesce(regexp_matches({_NUM.replace('heading', 'section')}, '^\\p{{Nd}}+(\\.{text.ZERO}+)*$'), false) AS top_level, regexp_matches(section, '{_LABEL_SHAPE}') AS label
+  FROM (SELECT DISTINCT section FROM changes WHERE section IS NOT NULL)""")
 def q_heading_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, rests and labels of all headings."""
     h = F.col("section")
@@ -142,15 +145,35 @@ def q_heading_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(h.alias("heading"), text.heading_number(h).alias("number"), text.heading_rest(h).alias("rest"), text.top_level_numbered(h).alias("top_level"), text.is_label(h).alias("label"))
 
 
-# ---------------------------------------------------------------- sections of pairs; the SQL matches them by their wording or place
-_MATCHED = f"""{_SECTIONS}, {_COMP}, heads AS (
-  SELECT document_id, section_idx, heading, {_REST} AS rest, count(*) FILTER (is_body AND NOT from_table) AS n_body,
-    count(DISTINCT table_position.table_id) FILTER (is_body AND from_table) AS n_tables, count(*) FILTER (is_body) AS n_all FROM sec GROUP BY document_id, section_idx, heading),
-nth AS (SELECT *, row_number() OVER (PARTITION BY document_id, rest ORDER BY section_idx) AS k FROM heads),
-o AS (SELECT comparison_id, nth.* FROM comp JOIN nth ON document_id = old_document_id), n AS (SELECT comparison_id, nth.* FROM comp JOIN nth ON document_id = new_document_id),
-fulljoin AS (SELECT comparison_id, CASE WHEN o.rest IS NULL THEN 'inserted' WHEN n.rest IS NULL THEN 'deleted' ELSE 'match' END AS kind, o.section_idx AS old_idx, n.section_idx AS new_idx,
-  o.heading AS old_heading, n.heading AS new_heading, coalesce(o.n_body, n.n_body) AS n_body, coalesce(o.n_tables, n.n_tables) AS n_tables, coalesce(o.n_all, n.n_all) AS n_all
-  FROM o FULL JOIN n USING (comparison_id, rest, k))"""
+# ---------------------------------------------------------------- sections of pairs, matched by similarity
+def _grams(source: str, prefix: str) -> str:
+    """SQL of the 2- and 3-grams of texts (k, t), their counts and each text's norm."""
+    words = f"SELECT k, ' ' || unnest(regexp_extract_all(regexp_replace(lower(t), '\\p{{Nd}}', '0', 'g'), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}]')) || ' ' AS w FROM {source}"
+    cut = " UNION ALL ".join(f"SELECT k, unnest(list_transform(range(1, length(w) - {n - 2}), lambda i: substring(w, i, {n}))) AS g FROM {prefix}_word" for n in (2, 3))
+    return f"{prefix}_word AS ({words}), {prefix}_gram AS (SELECT k, g, count(*) AS n FROM ({cut}) GROUP BY ALL), {prefix}_norm AS (SELECT k, sqrt(sum(n * n)::double) AS norm FROM {prefix}_gram GROUP BY k)"
+
+
+# Sections of both sides, their cosines, the best-first matches by recursion, and the longest run that kept its order among all runs.
+_MATCHED = f"""{_SECTIONS}, {_COMP}, body AS (
+  SELECT document_id, section_idx, heading, trim(heading || ' ' || coalesce(string_agg(coalesce(text, ''), ' ' ORDER BY seq) FILTER (is_body), ''), {_BLANKS}) AS t FROM sec GROUP BY document_id, section_idx, heading),
+text AS (SELECT row_number() OVER () AS k, t FROM (SELECT DISTINCT t FROM body)), {_grams("text", "t")},
+side AS (SELECT document_id, section_idx, heading, body.t, k, norm FROM body JOIN text USING (t) LEFT JOIN t_norm USING (k)),
+o AS (SELECT comparison_id, section_idx AS i, heading, t, k, norm FROM comp JOIN side ON document_id = old_document_id), n AS (SELECT comparison_id, section_idx AS j, heading, t, k, norm FROM comp JOIN side ON document_id = new_document_id),
+dot AS (SELECT a.k AS ka, b.k AS kb, sum(a.n * b.n)::double AS d FROM (SELECT DISTINCT o.k AS x, n.k AS y FROM o JOIN n USING (comparison_id)) JOIN t_gram a ON a.k = x JOIN t_gram b ON b.k = y AND b.g = a.g GROUP BY ALL),
+cand AS (SELECT comparison_id AS c, i, j, CASE WHEN o.t = n.t THEN 1.0 ELSE d / o.norm / n.norm END AS score FROM o JOIN n USING (comparison_id) JOIN dot ON ka = o.k AND kb = n.k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, i, j) AS r FROM cand WHERE score >= 0.6),
+walk AS (
+  SELECT c, 0::bigint AS r, []::int[] AS ui, []::int[] AS uj, NULL::int AS i, NULL::int AS j, NULL::double AS score, false AS ok FROM (SELECT DISTINCT c FROM ranked)
+  UNION ALL SELECT w.c, x.r, CASE WHEN list_contains(w.ui, x.i) OR list_contains(w.uj, x.j) THEN w.ui ELSE list_append(w.ui, x.i) END, CASE WHEN list_contains(w.ui, x.i) OR list_contains(w.uj, x.j) THEN w.uj ELSE list_append(w.uj, x.j) END,
+    x.i, x.j, x.score, NOT (list_contains(w.ui, x.i) OR list_contains(w.uj, x.j)) FROM walk w JOIN ranked x ON x.c = w.c AND x.r = w.r + 1),
+pair AS (SELECT c, i, j, score, row_number() OVER (PARTITION BY c ORDER BY i) AS p FROM walk WHERE ok),
+rising AS (SELECT c, p, j, [p] AS places FROM pair UNION ALL SELECT r.c, x.p, x.j, list_append(r.places, x.p) FROM rising r JOIN pair x ON x.c = r.c AND x.p > r.p AND x.j > r.j),
+longest AS (SELECT c, places FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY len(places) DESC, list_reverse(places)) AS _r FROM rising) WHERE _r = 1),
+m AS (
+  SELECT pair.c AS comparison_id, 'match' AS kind, pair.i AS old_idx, pair.j AS new_idx, score, list_contains(places, p) AS kept, o.heading AS old_heading, n.heading AS new_heading
+  FROM pair JOIN longest USING (c) JOIN o ON o.comparison_id = pair.c AND o.i = pair.i JOIN n ON n.comparison_id = pair.c AND n.j = pair.j
+  UNION ALL SELECT comparison_id, 'deleted', i, NULL, NULL, heading = 'Preamble' OR regexp_matches(heading, '^Paragraph \\d+$'), heading, NULL FROM o WHERE NOT EXISTS (SELECT 1 FROM pair WHERE c = comparison_id AND pair.i = o.i)
+  UNION ALL SELECT comparison_id, 'inserted', NULL, j, NULL, heading = 'Preamble' OR regexp_matches(heading, '^Paragraph \\d+$'), NULL, heading FROM n WHERE NOT EXISTS (SELECT 1 FROM pair WHERE c = comparison_id AND pair.j = n.j))"""
 
 
 def _section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,34 +184,36 @@ def _section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOP = "coalesce(regexp_matches(regexp_extract({0}, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', 1), '^\\d+(\\.0+)*$'), false)"
 
 
-@query(f"""WITH {_MATCHED}, num AS (SELECT *, nullif(regexp_extract(old_heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', 1), '') AS a, nullif(regexp_extract(new_heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', 1), '') AS b FROM fulljoin WHERE kind = 'match'),
-shifted AS (SELECT num.*, (SELECT count(*) FROM fulljoin i WHERE i.comparison_id = num.comparison_id AND i.kind = 'inserted' AND i.new_idx < num.new_idx AND {_TOP.format('i.new_heading')})
-  - (SELECT count(*) FROM fulljoin d WHERE d.comparison_id = num.comparison_id AND d.kind = 'deleted' AND d.old_idx < num.old_idx AND {_TOP.format('d.old_heading')}) AS s FROM num WHERE a <> b),
+_SPLIT = "regexp_extract({0}, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$', {1})"
+
+
+@query(f"""WITH RECURSIVE {_MATCHED}, num AS (SELECT *, nullif({_SPLIT.format('old_heading', 1)}, '') AS a, nullif({_SPLIT.format('new_heading', 1)}, '') AS b, {_REST.replace('heading', 'old_heading')} = {_REST.replace('heading', 'new_heading')} AS same FROM m WHERE kind = 'match'),
+shifted AS (SELECT num.*, (SELECT count(*) FROM m x WHERE x.comparison_id = num.comparison_id AND x.kind = 'inserted' AND x.new_idx < num.new_idx AND {_TOP.format('x.new_heading')})
+  - (SELECT count(*) FROM m x WHERE x.comparison_id = num.comparison_id AND x.kind = 'deleted' AND x.old_idx < num.old_idx AND {_TOP.format('x.old_heading')}) AS s FROM num WHERE a <> b),
 judged AS (SELECT *, s <> 0 AND split_part(b, '.', 1)::long - split_part(a, '.', 1)::long = s AS pushed FROM shifted)
 SELECT comparison_id, old_idx, new_idx, CASE WHEN pushed THEN 'section_renumbered_cascade' ELSE 'section_renumbered' END AS change_type,
-  'Section renumbered from ''' || a || ''' to ''' || b || '''' || CASE WHEN pushed THEN ' as a side effect of ' || abs(s) || ' section' || CASE WHEN abs(s) = 1 THEN '' ELSE 's' END || CASE WHEN s > 0 THEN ' added' ELSE ' removed' END || ' above it; wording unchanged.' ELSE '.' END AS reason FROM judged""")
+  'Section renumbered from \'\'' || a || '\'\' to \'\'' || b || '\'\'' || CASE WHEN pushed THEN ' as a side effect of ' || abs(s) || ' section' || CASE WHEN abs(s) = 1 THEN '' ELSE 's' END || CASE WHEN s > 0 THEN ' added' ELSE ' removed' END || ' above it' || CASE WHEN same THEN '; wording unchanged.' ELSE '.' END ELSE '.' END AS reason FROM judged""")
 def q_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.renumbered(_section_rows(spark, sf_dir)).select("comparison_id", "old_idx", "new_idx", "change_type", "reason")
 
 
-_HOLDS = "CASE WHEN n_body + n_tables > 0 THEN concat_ws(', ', CASE WHEN n_body > 0 THEN n_body || ' paragraph' || CASE WHEN n_body = 1 THEN '' ELSE 's' END END, CASE WHEN n_tables > 0 THEN n_tables || ' table' || CASE WHEN n_tables = 1 THEN '' ELSE 's' END END) || '.' WHEN n_all > 0 THEN 'All content moved; see the related move entries.' ELSE 'No content.' END"
-
-
-@query(f"""WITH {_MATCHED} SELECT comparison_id, old_idx, new_idx, CASE kind WHEN 'inserted' THEN 'section_added' ELSE 'section_deleted' END AS change_type,
-  CASE kind WHEN 'inserted' THEN 'New section added: ''' ELSE 'Section deleted: ''' END || coalesce(new_heading, old_heading) || '''. ' || {_HOLDS} AS reason
-  FROM fulljoin WHERE kind <> 'match' AND NOT (coalesce(new_heading, old_heading) = 'Preamble' OR regexp_matches(coalesce(new_heading, old_heading), '^Paragraph \\d+$'))""")
+@query()
 def q_sections_added_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.added_or_deleted(_section_rows(spark, sf_dir)).select("comparison_id", "old_idx", "new_idx", "change_type", "reason")
 
 
-@query(f"""WITH {_SECTIONS}, {_COMP}, heads AS (SELECT DISTINCT document_id, section_idx, heading FROM sec),
-m AS (SELECT comparison_id, section_idx AS idx, o.heading AS a, n.heading AS b FROM comp JOIN heads o ON o.document_id = old_document_id JOIN heads n ON n.document_id = new_document_id AND n.section_idx = o.section_idx),
-x AS (SELECT *, {_REST.replace('heading', 'a')} AS ra, {_REST.replace('heading', 'b')} AS rb, regexp_matches(a, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$') AND regexp_matches(b, '^(\\d+(?:\\.\\d+)*)\\s+(.*)$') AS num FROM (SELECT comparison_id, o.section_idx AS idx, o.heading AS a, n.heading AS b FROM comp JOIN heads o ON o.document_id = old_document_id JOIN heads n ON n.document_id = new_document_id AND n.section_idx = o.section_idx))
-SELECT comparison_id, idx AS old_idx, 'section_heading_changed' AS change_type, 'Section heading changed from ''' || a || ''' to ''' || b || '''.' AS reason FROM x
-WHERE regexp_replace(trim(a), '\\s+', ' ', 'g') <> regexp_replace(trim(b), '\\s+', ' ', 'g') AND NOT (num AND ra = rb)
-  AND NOT (a = 'Preamble' OR b = 'Preamble' OR regexp_matches(a, '^Paragraph \\d+$') OR regexp_matches(b, '^Paragraph \\d+$'))
-  AND NOT regexp_matches(a, '^(Page (Header|Footer)|Text Box \\d+|Footnote \\d+)(\\s\\(.+\\))?$') AND NOT regexp_matches(b, '^(Page (Header|Footer)|Text Box \\d+|Footnote \\d+)(\\s\\(.+\\))?$')""".replace("""m AS (SELECT comparison_id, section_idx AS idx, o.heading AS a, n.heading AS b FROM comp JOIN heads o ON o.document_id = old_document_id JOIN heads n ON n.document_id = new_document_id AND n.section_idx = o.section_idx),
-""", ""))
+_BARE = "regexp_replace(trim({0}), '\\s+', ' ', 'g')"
+_UNNUMBERED = "CASE WHEN contains({0}, ' ') AND regexp_matches(replace(split_part({0}, ' ', 1), '.', ''), '^\\p{{Nd}}+$') THEN substring({0}, strpos({0}, ' ') + 1) ELSE {0} END"
+
+
+@query(f"""WITH RECURSIVE {_MATCHED}, h AS (SELECT *, {_BARE.format('old_heading')} AS a, {_BARE.format('new_heading')} AS b FROM m WHERE kind = 'match' AND old_heading <> new_heading),
+u AS (SELECT *, {_UNNUMBERED.format('a')} AS ua, {_UNNUMBERED.format('b')} AS ub FROM h), title AS (SELECT row_number() OVER () AS k, t FROM (SELECT ua AS t FROM u UNION SELECT ub FROM u)), {_grams("title", "h")},
+near AS (SELECT x.t AS ua, y.t AS ub, sum(a.n * b.n)::double / any_value(na.norm) / any_value(nb.norm) AS s FROM (SELECT DISTINCT ua, ub FROM u) JOIN title x ON x.t = ua JOIN title y ON y.t = ub JOIN h_gram a ON a.k = x.k JOIN h_gram b ON b.k = y.k AND b.g = a.g JOIN h_norm na ON na.k = x.k JOIN h_norm nb ON nb.k = y.k GROUP BY ALL),
+x AS (SELECT u.*, CASE WHEN u.ua = u.ub THEN 1.0 ELSE coalesce(s, 0.0) END AS similarity, {_SPLIT.format('old_heading', 1)} <> '' AND {_SPLIT.format('new_heading', 1)} <> '' AND {_REST.replace('heading', 'old_heading')} = {_REST.replace('heading', 'new_heading')} AS renumbered FROM u LEFT JOIN near ON near.ua = u.ua AND near.ub = u.ub)
+SELECT comparison_id, old_idx, 'section_heading_changed' AS change_type, 'Section heading changed from \'\'' || old_heading || '\'\' to \'\'' || new_heading || '\'\'.' ||
+  CASE WHEN similarity < {structure.REWRITE_THRESHOLD} THEN ' Headings differ substantially (similarity ' || printf('%.2f', similarity) || '); sections matched on content.' ELSE '' END AS reason FROM x
+WHERE a <> b AND NOT renumbered AND NOT (old_heading = 'Preamble' OR new_heading = 'Preamble' OR regexp_matches(old_heading, '^Paragraph \\d+$') OR regexp_matches(new_heading, '^Paragraph \\d+$'))
+  AND NOT regexp_matches(old_heading, '^(Page (Header|Footer)|Text Box \\d+|Footnote \\d+)(\\s\\(.+\\))?$') AND NOT regexp_matches(new_heading, '^(Page (Header|Footer)|Text Box \\d+|Footnote \\d+)(\\s\\(.+\\))?$')""")
 def q_heading_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.heading_changed(_section_rows(spark, sf_dir)).select("comparison_id", "old_idx", "change_type", "reason")
 
@@ -218,6 +243,23 @@ def q_flat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.flat_texts(grids.cells(_paragraphs(spark, sf_dir)))
 
 
+_REAL = "text IS NOT NULL AND trim(text, " + _BLANKS + ") <> ''"
+
+
+@query(f"""WITH {_FLAGS}, b AS (SELECT *, {_REAL} AS written FROM bound), run AS (
+  SELECT *, sum((h AND written)::int) OVER w AS part, coalesce(last_value(CASE WHEN h AND written THEN text END IGNORE NULLS) OVER w, 'Preamble') AS heading FROM b WINDOW w AS (PARTITION BY document_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+counted AS (SELECT *, sum((written AND NOT h)::int) OVER (PARTITION BY document_id, part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM run)
+SELECT document_id, seq, h AND written AS opens, heading || CASE WHEN written AND NOT h THEN ', paragraph ' || n WHEN n > 0 THEN ', after paragraph ' || n ELSE ', at start' END AS anchor FROM counted""")
+def q_anchor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where something that hangs from a paragraph of a document is: its section and its place in it."""
+    rows = _paragraphs(spark, sf_dir).select(
+        "document_id", F.lit(docx.BODY).alias("part"), F.lit(0).alias("unit"), F.col("seq").alias("ord"), F.lit(None).cast("int").alias("at"), text.strip(F.col("text")).alias("stripped"), "text",
+        "is_heading", F.col("allow_text_pattern_heading").alias("by_text"),
+    )
+    written = rows.withColumn("text", F.when(F.col("stripped") != "", F.col("text")).otherwise("")).drop("stripped")
+    return docx.located(written).select("document_id", F.col("ord").alias("seq"), "opens", "anchor")
+
+
 # ---------------------------------------------------------------- detection
 _RE = {"numbers": ("'-?\\d+(?:\\.\\d+)?'", 0), "units": ("'\\d+\\.?\\d*\\s*(%|°C|°F|mL|L|mg|kg|g|min|hr|h|RH)'", 1), "dates": ("'(?i)\\b\\d{1,2}\\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\s+\\d{4}\\b'", 0)}
 _TOKENS = f"{_CH}, tok AS (SELECT id, " + ", ".join(f"regexp_extract_all(coalesce({s}_text, ''), {p}, {g}) AS {s}_{k}" for k, (p, g) in _RE.items() for s in ("old", "new")) + " FROM ch)"
@@ -270,10 +312,20 @@ def q_risk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).select("id", "change_type", views.risk_of(F.col("change_type")).alias("risk"), views.effective_risk(F.col("reviewer_risk_level"), F.col("ai_risk_level")).alias("effective"))
 
 
-@query(f"WITH {_CH} SELECT id, section FROM ch WHERE {_EFFECTIVE} = 'High' AND change_type = 'numeric_change'")
+_FILTERS = [{"risk": "High"}, {"change_type": "numeric_change"}, {"section": "Recorded Values"}, {"risk": "Low", "change_type": "wording_change"}, {"risk": "Medium", "section": "1.0 Purpose", "change_type": "date_change"}, {}]
+
+
+def _filter_sql(n: int, f: dict) -> str:
+    columns = {"risk": _EFFECTIVE, "section": "section", "change_type": "change_type"}
+    return f"SELECT {n} AS filter, id, section FROM ch WHERE " + " AND ".join(["true", *(f"{columns[k]} = '{v}'" for k, v in f.items())])
+
+
+@query(f"WITH {_CH} " + " UNION ALL ".join(_filter_sql(n, f) for n, f in enumerate(_FILTERS)))
 def q_filter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that pass a filter over risk, section and type; each of the filters is left open in some."""
     c = _changes(spark, sf_dir)
-    return c.where((views.effective_risk(F.col("reviewer_risk_level"), F.col("ai_risk_level")) == "High") & (F.col("change_type") == "numeric_change")).select("id", "section")
+    parts = [review.filter_changes(c, **f).select(F.lit(n).alias("filter"), "id", "section") for n, f in enumerate(_FILTERS)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"WITH {_CH}, {_COMP} SELECT comparison_id, " + ", ".join([f"coalesce({c}, 0) AS {c}" for c in ["total_changes", *summary._RISKS, *summary._TYPES]]) + " FROM (SELECT DISTINCT comparison_id FROM comp) LEFT JOIN (SELECT comparison_id, count(*) AS total_changes, " + ", ".join([f"count(*) FILTER (ai_risk_level = '{v}') AS {k}" for k, v in summary._RISKS.items()] + [f"count(*) FILTER (change_type = '{v}') AS {k}" for k, v in summary._TYPES.items()]) + " FROM ch GROUP BY ALL) USING (comparison_id)")
@@ -331,6 +383,12 @@ def q_table_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).select("id", views.table_cell(a, b).alias("table_cell"), views.coordinate(a, b, "row").alias("row_text"), views.coordinate(a, b, "col").alias("col_text"), views.table_key(a, b).alias("table_key"))
 
 
+@query(f"WITH {_CH}, k AS (SELECT DISTINCT comparison_id, coalesce(new_table_id, old_table_id) AS table_key FROM ch WHERE source = 'Table') SELECT comparison_id, table_key, table_key + 1 AS shown_as, row_number() OVER (PARTITION BY comparison_id ORDER BY table_key) AS place FROM k WHERE table_key >= 0")
+def q_table_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of each comparison in the order they are shown in."""
+    return summary.table_order(_changes(spark, sf_dir).where("source = 'Table'"), "comparison_id")
+
+
 _LAST = "(SELECT change_id, {0} AS v FROM (SELECT change_id, {0}, row_number() OVER (PARTITION BY change_id ORDER BY submitted_at DESC, {0} DESC) AS _r FROM review_patches WHERE {0} IS NOT NULL AND change_id IS NOT NULL) WHERE _r = 1)"
 
 
@@ -386,7 +444,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return v.where("ord % 2 = 0"), v.where("ord % 2 = 1")
 
 
-_COS = "cand AS (SELECT o.vec_id // 100 AS grp, o.vec_id AS i, n.vec_id AS j, round(list_cosine_similarity(o.embedding::double[], n.embedding::double[]), 9) AS score FROM embeddings o JOIN embeddings n ON o.vec_id // 100 = n.vec_id // 100 WHERE o.vec_id % 2 = 0 AND n.vec_id % 2 = 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, i, j) AS r FROM cand WHERE score >= 0.25)"
+_COS = "cand AS (SELECT o.label::bigint AS grp, o.vec_id AS i, n.vec_id AS j, round(list_cosine_similarity(o.embedding::double[], n.embedding::double[]), 9) AS score FROM embeddings o JOIN embeddings n ON o.label = n.label WHERE o.vec_id % 2 = 0 AND n.vec_id % 2 = 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, i, j) AS r FROM cand WHERE score >= 0.25)"
 _GREEDY = f"""WITH RECURSIVE {_COS}, walk AS (
   SELECT grp, 0::bigint AS r, []::bigint[] AS ui, []::bigint[] AS uj, NULL::bigint AS i, NULL::bigint AS j, NULL::double AS score, false AS ok FROM (SELECT DISTINCT grp FROM ranked)
   UNION ALL SELECT w.grp, k.r, CASE WHEN list_contains(w.ui, k.i) OR list_contains(w.uj, k.j) THEN w.ui ELSE list_append(w.ui, k.i) END, CASE WHEN list_contains(w.ui, k.i) OR list_contains(w.uj, k.j) THEN w.uj ELSE list_append(w.uj, k.j) END,
@@ -412,7 +470,7 @@ def q_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_vectors(*_vectors(spark, sf_dir), "grp", 0.25).select("grp", "i", "j")
 
 
-@query(f"WITH g AS ({_GREEDY}) SELECT vec_id // 100 AS grp, vec_id AS ord, CASE WHEN vec_id % 2 = 0 THEN 'deleted' ELSE 'inserted' END AS kind FROM embeddings WHERE vec_id NOT IN (SELECT i FROM g) AND vec_id NOT IN (SELECT j FROM g)")
+@query(f"WITH g AS ({_GREEDY}) SELECT label::bigint AS grp, vec_id AS ord, CASE WHEN vec_id % 2 = 0 THEN 'deleted' ELSE 'inserted' END AS kind FROM embeddings WHERE vec_id NOT IN (SELECT i FROM g) AND vec_id NOT IN (SELECT j FROM g)")
 def q_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of either side without a match within their label."""
     old, new = _vectors(spark, sf_dir)
@@ -426,7 +484,7 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_pairs(spark, sf_dir), _sectioned(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MATCHED} SELECT comparison_id, kind, old_idx, new_idx, score, kept, old_heading, new_heading FROM m")
 def q_section_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections matched by similarity, and those without a match."""
     return _aligned(spark, sf_dir).where(F.col("kind").isin("match", "inserted", "deleted")).select("comparison_id", "kind", "old_idx", "new_idx", "score", "kept", "old_heading", "new_heading")
@@ -460,7 +518,8 @@ def q_llm_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_compare_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All change rows of all comparisons."""
-    return compare(_pairs(spark, sf_dir), table(spark, sf_dir, "paragraphs")).drop("old_table_position", "new_table_position")
+    flat = [F.col(f"{s}_table_position.{k}").alias(f"{s}_table_{k.removeprefix('table_')}") for s in ("old", "new") for k in ("table_id", "row", "col")]
+    return compare(_pairs(spark, sf_dir), table(spark, sf_dir, "paragraphs")).select("*", *flat).drop("old_table_position", "new_table_position")
 
 
 @query()

@@ -30,8 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    The cluster's ``spark.checkpoint.dir`` is used where it is set; a folder of
-    this machine is only set where the session has none (tests, local mode).
+    The cluster's ``spark.checkpoint.dir`` is used where it is set. Where it is
+    not, a folder of this machine serves a session that runs on this machine
+    alone; on a cluster, whose executors would not share it, that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -40,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(shared)
         return shared
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "palimp-checkpoints"))
     return sc.getCheckpointDir()
 

@@ -1,7 +1,7 @@
 """Paragraphs of page layouts: text blocks with sizes, as a page reader gives them.
 
-No page-layout parser is part of the engine's environment; a reader plugs in by
-giving rows of blocks, and everything after the parser is declarative.
+A reader, such as that of PDF files, gives rows of blocks; everything after the
+parser is declarative and needs one exchange by document.
 """
 
 from __future__ import annotations
@@ -27,23 +27,26 @@ def block_size(lines: Column) -> Column:
     return F.get(F.get(F.filter(lines, lambda line: F.size(line) > 0), F.lit(0)), F.lit(0))["size"]
 
 
-def body_size(blocks: DataFrame) -> DataFrame:
-    """document_id and the most frequent size; of equally frequent ones, the first seen."""
-    by_size = blocks.where(F.col("size").isNotNull()).groupBy("document_id", "size").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
-    first = Window.partitionBy("document_id").orderBy(F.desc("_n"), "_first")
-    return by_size.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("document_id", F.col("size").alias("baseline"))
+def with_body_size(blocks: DataFrame) -> DataFrame:
+    """The blocks with ``baseline``: the most frequent size of their document, of equally frequent ones the first seen; null where none has a size."""
+    alike = Window.partitionBy("document_id", "size")
+    b = blocks.withColumns({"_n": F.when(F.col("size").isNotNull(), F.count("*").over(alike)), "_first": F.min("seq").over(alike)})
+    best = Window.partitionBy("document_id").orderBy(F.desc_nulls_last("_n"), "_first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return b.withColumn("baseline", F.first("size").over(best)).drop("_n", "_first")
 
 
 def paragraphs_of_blocks(blocks: DataFrame, toc: DataFrame | None = None) -> DataFrame:
-    """Paragraph rows of blocks (document_id, seq, page, lines).
+    """Paragraph rows of blocks (document_id, seq, page, lines and, if there is one, titles).
 
-    A block is a heading if it is a title of its page in ``toc`` (document_id,
-    page, title), or larger than the body and shaped like a heading. Blocks
-    without text are left out; a document without sizes has no headings by size.
+    A block is a heading if it is a title of its page - in the array ``titles`` of
+    its row or in ``toc`` (document_id, page, title) -, or larger than the body and
+    shaped like a heading. Blocks without text are left out; a document without
+    sizes has no headings by size.
     """
-    b = blocks.withColumns({"text": block_text(F.col("lines")), "size": block_size(F.col("lines"))}).where(F.col("text") != "")
-    p = b.join(body_size(b), "document_id", "left")
+    p = with_body_size(blocks.withColumns({"text": block_text(F.col("lines")), "size": block_size(F.col("lines"))}).where(F.col("text") != ""))
     by_size = F.coalesce((F.col("size") >= F.col("baseline") + SIZE_DELTA) & heading_shape(F.col("text")), F.lit(False))
+    if "titles" in blocks.columns:
+        by_size = by_size | F.coalesce(F.array_contains("titles", F.col("text")), F.lit(False))
     if toc is not None:
         titles = toc.select("document_id", "page", strip(F.col("title")).alias("text"), F.lit(True).alias("_toc")).distinct()
         p = p.join(titles, ["document_id", "page", "text"], "left")
