@@ -11,6 +11,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,19 @@ BLOCK_SCORES = 1 << 22
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+@lru_cache(1 << 16)
+def _word_grams(word: str) -> tuple[str, ...]:
+    w = f" {word} "
+    return tuple(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))
+
+
 def ngram_vectors(texts: Iterable[str]) -> list[Counter]:
     """Counts of the 2- and 3-grams of each word with its boundaries, digits being alike."""
     out = []
     for t in texts:
         grams: Counter = Counter()
         for w in _WORDS.findall(_DIGITS.sub("0", (t or "").lower())):
-            w = f" {w} "
-            for n in (2, 3):
-                grams.update(w[i : i + n] for i in range(len(w) - n + 1))
+            grams.update(_word_grams(w))
         out.append(grams)
     return out
 
@@ -66,8 +71,8 @@ def _count_cosines(old: list[Counter], new: list[Counter]) -> np.ndarray:
     shared = {g: k for k, g in enumerate(dict.fromkeys(g for c in old for g in c if g in seen))}
     sides = []
     for side in (old, new):
-        found = [(shared[g], r, n) for r, c in enumerate(side) for g, n in c.items() if g in shared]
-        sides.append(np.array(sorted(found), float).reshape(-1, 3))
+        found = np.array([x for r, c in enumerate(side) for g, n in c.items() if g in shared for x in (shared[g], r, n)], float).reshape(-1, 3)
+        sides.append(found[np.argsort(found[:, 0], kind="stable")])
     width = max(1, BLOCK_SCORES // (len(old) + len(new)))
     for lo in range(0, len(shared), width):
         parts = []

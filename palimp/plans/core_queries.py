@@ -295,7 +295,21 @@ def q_first_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(F.col("_d").isNotNull()).select("id", "_d.change_type")
 
 
-@query()
+def _marks(k: str, side: str, group: int, pattern: str) -> str:
+    """SQL of the places of a detection's values in one text, where it fired: the end of a match is the length of all pieces and matches so far."""
+    t = f"coalesce({side}_text, '')"
+    so_far = "list_sum(list_transform({0}[1:i], lambda x: length(x)))::bigint"
+    ends = f"unnest(list_transform(range(1, len(w) + 1), lambda i: {{'e': {so_far.format('p')} + {so_far.format('w')}, 'n': length(v[i])}}))"
+    texts = f"SELECT id, string_split_regex({t}, {pattern}) AS p, regexp_extract_all({t}, {pattern}, 0) AS w, regexp_extract_all({t}, {pattern}, {group}) AS v FROM ch JOIN tok USING (id) WHERE old_{k} <> new_{k}"
+    return f"SELECT id, '{side}' AS side, m.e - m.n AS s, m.e AS e FROM (SELECT id, {ends} AS m FROM ({texts}))"
+
+
+@query(f"""WITH RECURSIVE {_TOKENS}, mark AS ({" UNION ALL ".join(_marks(k, side, g, p) for k, (p, g) in _RE.items() for side in ("old", "new"))}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY s DESC, e DESC) AS r FROM mark),
+cut AS (SELECT id, 'old' AS side, 0::bigint AS r, coalesce(old_text, '') AS t FROM ch UNION ALL SELECT id, 'new', 0, coalesce(new_text, '') FROM ch
+  UNION ALL SELECT c.id, c.side, x.r, substring(c.t, 1, x.s) || substring(c.t, x.e + 1) FROM cut c JOIN ranked x ON x.id = c.id AND x.side = c.side AND x.r = c.r + 1),
+rest AS (SELECT id, side, arg_max(t, r) AS t FROM cut GROUP BY ALL)
+SELECT o.id, o.t AS old_residual, n.t AS new_residual, o.t <> n.t AS differs FROM rest o JOIN rest n USING (id) WHERE o.side = 'old' AND n.side = 'new'""")
 def q_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of both texts without the detected values, and whether it still differs."""
     c = _changes(spark, sf_dir).withColumn("_d", detect.detections(F.col("old_text"), F.col("new_text")))
@@ -413,7 +427,12 @@ def q_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.csv_rows(_changes(spark, sf_dir).withColumnRenamed("id", "change_id"))
 
 
-@query()
+_POSITION = "CASE WHEN {0}_table_id IS NOT NULL THEN {{'table_id': {0}_table_id, 'row': {0}_table_row, 'col': {0}_table_col}} END"
+
+
+@query(f"""WITH {_CH} SELECT comparison_id, to_json({{'change_id': id, 'section': section, 'change_type': change_type, 'source': source, 'old_text': old_text, 'new_text': new_text, 'risk_level': {_EFFECTIVE}, 'ai_risk_level': ai_risk_level,
+  'reviewer_risk_level': reviewer_risk_level, 'reason': reason, 'old_page': old_page, 'new_page': new_page, 'confidence': confidence, 'reviewer_comment': reviewer_comment, 'accepted': accepted,
+  'old_table_position': {_POSITION.format('old')}, 'new_table_position': {_POSITION.format('new')}}})::varchar AS change FROM ch""")
 def q_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each change as the JSON object of the export."""
     return export.json_rows(_changes(spark, sf_dir).withColumns({"change_id": F.col("id"), "change_ord": F.xxhash64("id")})).drop("change_ord")
