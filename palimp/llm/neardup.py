@@ -429,7 +429,7 @@ def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float
     banding = banding or Banding.of(threshold)
     longs = _longs(banding)
     sets = shingled(df, id_col, fields, size, least_words)
-    rows = _routed(sets, banding).repartition("key").sortWithinPartitions("key")
+    rows = _routed(sets, banding).repartition(partitions(df, banding), "key").sortWithinPartitions("key")
     schema = "pair_key long, fp_1 long, fp_2 long, " + ", ".join(f"{c} long" for c in longs)
     # Pairs and rows of large buckets come from one pass; what is checkpointed are mostly the pairs.
     passed = checkpoint(rows.mapInArrow(_bucket_pairs(banding, hold), schema))
@@ -444,6 +444,19 @@ def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float
     return pairs, membership(df, id_col, fields, size, least_words)
 
 
+def partitions(df: DataFrame, banding: Banding) -> int:
+    """Partitions for the routed rows: as the session has it, or more, so that one holds about 16 MB by the plan's estimate of the input.
+
+    A record of some 80 stored bytes is routed in rows of 16 bytes and its minhash bytes.
+    Only the number of tasks depends on the estimate; one that is beyond reason (of data without statistics) is left aside.
+    """
+    spark = df.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    routed = estimate * banding.a * (16 + banding.hashes) // 80
+    return usual if estimate > 1 << 50 else max(usual, min(routed >> 24, 1 << 17))
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, size: int = 5, least_words: int = 0, **options) -> DataFrame:
     """All pairs of ids (id_1 < id_2) whose records are at least ``threshold`` similar.
 
@@ -486,18 +499,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicate_groups(df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, size: int = 5, least_words: int = 0, **options) -> DataFrame:
     """id, class_id and links of every record that takes part, one row each.
 
-    A class is a connected component of similar sets; ``class_id`` is the least
-    fingerprint of it, and ``links`` the number of other records that are
+    A class is a connected component of similar sets; ``class_id`` is the least id
+    of its records, and ``links`` the number of other records that are
     at least ``threshold`` similar to the record itself, copies included. Copies
     are never expanded into pairs. Other cases as in :func:`similar_sets`.
     """
     pairs, members = similar_sets(df, id_col, fields, threshold, size, least_words, **options)
     pairs = checkpoint(pairs.select("fp_1", "fp_2"))
-    sizes = members.groupBy("fp").agg(F.count("*").alias("_n"))
+    sizes = members.groupBy("fp").agg(F.count("*").alias("_n"), F.min("id").alias("_least"))
     both = pairs.unionByName(pairs.select(F.col("fp_2").alias("fp_1"), F.col("fp_1").alias("fp_2")))
     linked = both.join(sizes.select(F.col("fp").alias("fp_2"), "_n"), "fp_2").groupBy(F.col("fp_1").alias("fp")).agg(F.sum("_n").alias("_others"))
     classes = components(pairs.select(F.col("fp_1").alias("a"), F.col("fp_2").alias("b")))
     # The class of a set is found once per set, not per copy.
     of_set = sizes.join(linked, "fp", "left").join(classes.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    of_set = of_set.select("fp", F.coalesce("component", "fp").alias("class_id"), (F.col("_n") - 1 + F.coalesce("_others", F.lit(0))).alias("links"))
+    of_set = of_set.select("fp", F.coalesce("component", "fp").alias("_class"), "_least", (F.col("_n") - 1 + F.coalesce("_others", F.lit(0))).alias("links"))
+    named = of_set.groupBy("_class").agg(F.min("_least").alias("class_id"))
+    of_set = of_set.join(named, "_class").select("fp", "class_id", "links")
     return members.join(of_set, "fp").select("id", "class_id", "links")

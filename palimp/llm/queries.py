@@ -133,8 +133,7 @@ SELECT field, value, occurrences, records, records / n AS share,
   CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * n THEN 'common' END AS mark FROM counted JOIN total USING (field)
 """
 # Of all pairs with a triple in common: the exact similarity.
-_P1 = """
-WITH one AS (SELECT DISTINCT id, coalesce(old_text, '') AS a, coalesce(new_text, '') AS b FROM changes WHERE id IS NOT NULL),
+_PAIRS = """one AS (SELECT DISTINCT id, coalesce(old_text, '') AS a, coalesce(new_text, '') AS b FROM changes WHERE id IS NOT NULL),
 words AS (SELECT id, regexp_extract_all(translate(a, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS a,
   regexp_extract_all(translate(b, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS b FROM one),
 able AS (SELECT * FROM words WHERE len(a) + len(b) >= 20),
@@ -142,8 +141,15 @@ triple AS (SELECT DISTINCT id, g FROM (
   SELECT id, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS g FROM able
   UNION ALL SELECT id, unnest(list_transform(range(1, len(b) - 1), lambda i: b[i] || ' ' || b[i + 1] || ' ' || b[i + 2])) FROM able)),
 size AS (SELECT id, count(*) AS n FROM triple GROUP BY id),
-pair AS (SELECT x.id AS i, y.id AS j, count(*) AS c FROM triple x JOIN triple y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
-SELECT i AS change_id_1, j AS change_id_2 FROM pair JOIN size s ON s.id = i JOIN size t ON t.id = j WHERE c >= 0.6 * (s.n + t.n - c) - 1e-9
+pair AS (SELECT x.id AS i, y.id AS j, count(*) AS c FROM triple x JOIN triple y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+found AS (SELECT i AS change_id_1, j AS change_id_2 FROM pair JOIN size s ON s.id = i JOIN size t ON t.id = j WHERE c >= 0.6 * (s.n + t.n - c) - 1e-9)
+"""
+_P1 = f"WITH {_PAIRS} SELECT * FROM found"
+# Whatever is reached over pairs, by recursion; a class is named by the least change of it.
+_P1_GROUPS = f"""
+WITH RECURSIVE {_PAIRS}, link AS (SELECT change_id_1 AS a, change_id_2 AS b FROM found UNION ALL SELECT change_id_2, change_id_1 FROM found),
+reach AS (SELECT id AS a, id AS b FROM size UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT a AS change_id, min(b) AS class_id, (SELECT count(*) FROM link WHERE link.a = reach.a) AS links FROM reach GROUP BY a
 """
 _FORMS = "[！-～ﬀ-ﬆﬓ-ﬗĲĳℂℇℊ-ℓℕℙ-ℝℤℨℬℭℯ-ℱℳ-ℴℼ-ℿⅅ-ⅉ\\x{1D400}-\\x{1D7FF}]"
 _MIXED = "|".join(f"\\p{{{s}}}\\p{{L}}*[{''.join(f'\\p{{{o}}}' for o in ('Latin', 'Greek', 'Cyrillic', 'Armenian') if o != s)}]" for s in ("Latin", "Greek", "Cyrillic", "Armenian"))
@@ -161,6 +167,7 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
 """
 ORACLES: dict[str, str] = {
     "p1_found": _P1,
+    "p1_groups": _P1_GROUPS,
     "p3_found": _P3,
     "p7_faults": "SELECT pack_id, (SELECT count(*) FROM documents) AS items, 0::bigint AS overfull, 0::bigint AS broken, 0::bigint AS needless FROM pack_sizes",
     "p8_found": _P8,
