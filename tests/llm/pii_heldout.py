@@ -1,4 +1,7 @@
-"""Passages written by hand, apart from the labelled table's lists: {kind:text} marks personal information."""
+"""Passages written by hand, not by the labelled table's generator: {kind:text} marks personal information.
+
+Of the 27 passages with a name, 7 hold a word that also stands in the table's lists of names.
+"""
 
 import re
 

@@ -24,7 +24,7 @@ def test_training_is_repeatable_and_learns(tmp_path):
 
 
 def test_passages_of_another_hand(model):
-    """The stored model on passages that share no list with the labelled table; the figures are those of the README."""
+    """The stored model on passages that the labelled table's generator did not make; the figures are those of the README."""
     rows = held_out()
     t = tokenize([x for x, _ in rows])
     a, b = found(t, decode(model, t)), found(t, token_labels(t, [s for _, s in rows]).astype(np.int8))
