@@ -14,8 +14,11 @@ those of a key with more than ``hold`` are dealt to blocks; every two blocks of
 a key are a tile of its own key, so the pairs of the hottest bucket spread over
 all tasks and each is looked at once.
 
-Candidates need a number of equal minhash bytes and are then verified with the
-exact similarity of their shingle sets.
+Rows also carry their set's size and the parities of its shingles in _BINS bins.
+Two sets of which n shingles are in one only differ in n parities at most, so a
+pair with more than the threshold allows is none, whatever its minhashes say.
+Candidates further need a number of equal minhash bytes and are then verified
+with the exact similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -38,6 +41,15 @@ _SET_BITS = 40
 _SLICE_RECORDS = 1 << 20
 #: Pairs that are compared at once.
 _PAIRS = 1 << 18
+#: Rows of an equal key from which on their pairs are compared as a matrix, in squares of _SQUARE rows.
+_DENSE = 48
+_SQUARE = 512
+#: Candidates that a task holds before it passes them on.
+_FOUND = 1 << 19
+#: Parities of a set; they and its size, in the 16 bits that remain, are two longs.
+_BINS = 112
+#: The size from which on a set's own is not kept.
+_LARGEST = (1 << 16) - 1
 
 
 @dataclass(frozen=True)
@@ -105,6 +117,15 @@ def _sketch(offsets: np.ndarray, shingles: np.ndarray, banding: Banding) -> np.n
     return out
 
 
+def _parities(offsets: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The parities of each non-empty set's shingles in _BINS bins, and above the last of them its size: two rows."""
+    at = ((mix(shingles) >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    out = np.stack([np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == k, bit, np.uint64(0)), offsets[:-1]) for k in range(2)])
+    out[1] |= np.minimum(np.diff(offsets), _LARGEST).astype(np.uint64) << np.uint64(48)
+    return out
+
+
 def _records(batches: Iterator[pa.RecordBatch], fields: list[str], size: int, least_words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Ids, set offsets and shingles of the records with enough words and a shingle."""
     for batch in batches:
@@ -185,27 +206,28 @@ def _different(fp: np.ndarray, offsets: np.ndarray, shingles: np.ndarray) -> tup
 
 
 def _longs(banding: Banding) -> list[str]:
-    """The columns that hold the minhash bytes."""
-    return [f"s{c}" for c in range(-(-banding.hashes // 8))]
+    """The columns that hold the minhash bytes, and the two of parities and size."""
+    return [f"s{c}" for c in range(-(-banding.hashes // 8))] + ["p0", "p1"]
 
 
-def _routed(sets: DataFrame, banding: Banding) -> DataFrame:
-    """One row per A tuple of every set: key, fp and the minhash bytes in longs."""
-    longs = _longs(banding)
+def _routed(df: DataFrame, id_col: str, fields: list[str], size: int, least_words: int, banding: Banding) -> DataFrame:
+    """One row per A tuple of every different set: key, fp, and the minhash bytes, parities and size in longs.
+
+    Equal sets have equal rows of keys and longs, which are made one; they are smaller than the sets.
+    """
+    longs, keys = _longs(banding), [f"k{i}" for i in range(banding.a)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, ends = binary_buffer(batch["set"])
-            for lo, hi in slices(ends):
-                offsets = (ends[lo : hi + 1] - ends[lo]) // (_SET_BITS // 8)
-                sketch = _sketch(offsets, _unpacked(raw[ends[lo] : ends[hi]]), banding)
-                low = np.zeros((hi - lo, 8 * len(longs)), np.uint8)
-                low[:, : banding.hashes] = (sketch >> np.uint64(40)).astype(np.uint8).T
-                columns = [batch["fp"].slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(c)) for c in low.view("<i8").T)]
-                for i in range(banding.a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a_keys(sketch, banding, i).view(np.int64)), *columns], ["key", "fp", *longs])
+        for _, offsets, shingles in _records(batches, _fields(fields), size, least_words):
+            fp, offsets, shingles = _different(_fingerprints(offsets, shingles), offsets, shingles)
+            sketch = _sketch(offsets, shingles, banding)
+            low = np.zeros((len(fp), 8 * (len(longs) - 2)), np.uint8)
+            low[:, : banding.hashes] = (sketch >> np.uint64(40)).astype(np.uint8).T
+            columns = [fp, *(a_keys(sketch, banding, i) for i in range(banding.a)), *low.view("<u8").T, *_parities(offsets, shingles)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], ["fp", *keys, *longs])
 
-    return sets.mapInArrow(run, "key long, fp long, " + ", ".join(f"{c} long" for c in longs))
+    sketched = _base(df, id_col, fields).mapInArrow(run, "fp long, " + ", ".join(f"{c} long" for c in [*keys, *longs])).distinct()
+    return sketched.select(F.explode(F.array(*keys)).alias("key"), "fp", *longs)
 
 
 #: The low bits of a key that say which tuple of A it is made of.
@@ -300,10 +322,11 @@ def partners(own: np.ndarray, banding: Banding, j: int) -> np.ndarray:
     return np.flatnonzero(own < j) if j < banding.a else np.arange(len(own))
 
 
-def _bucket_pairs(banding: Banding, hold: int):
+def _bucket_pairs(banding: Banding, hold: int, threshold: float):
     """Candidate pairs of the buckets of a sorted partition; of larger buckets, the rows under their pair keys.
 
-    Rows: pair_key (null for a pair), fp_1, fp_2 (null for a row) and the minhash bytes (of a row).
+    Rows: pair_key (null for a pair), fp_1, fp_2 (null for a row) and the minhash bytes, parities and size (of a row).
+    A pair comes once from its bucket, under the first tuple it shares, and candidates are passed on as soon as there are many.
     """
     longs = _longs(banding)
     names = ["pair_key", "fp_1", "fp_2", *longs]
@@ -315,10 +338,12 @@ def _bucket_pairs(banding: Banding, hold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
+        n = 0
         for key, (fp, *packed), hot in buckets(batches, hold):
             packed = np.stack(packed, 1).view(np.uint64)
             low, key = packed.view(np.uint8), key.view(np.uint64)
             own = (key & _OWN).astype(np.int64)
+            sieve = None if hot else Sieve(fp, packed, banding, threshold)
             for j in range(banding.a + banding.b):
                 of = partners(own, banding, j)
                 pair_key = key[of] + codes(low[of], banding, j)
@@ -329,21 +354,81 @@ def _bucket_pairs(banding: Banding, hold: int):
                         arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
                         yield pa.RecordBatch.from_arrays([arrays[0], arrays[1], pa.nulls(len(of), pa.int64()), *arrays[2:]], names)
                 else:
-                    for x, y in run_pairs(pair_key, np.argsort(pair_key, kind="stable")):
-                        found += _passing(fp, packed, of[x], of[y], banding)
-            if sum(map(len, found)) > 1 << 20:
-                yield from pairs(found)
-                found = []
+                    if not len(of):
+                        continue
+                    order = np.argsort(pair_key, kind="stable")
+                    for x, y in sieve.pairs(pair_key[order], of[order]):
+                        first = ~shared_before(low, own, x, y, banding, j)
+                        found += _ordered(fp, x[first], y[first])
+                        n += int(first.sum())
+                        if n > _FOUND:
+                            yield from pairs(found)
+                            found, n = [], 0
         yield from pairs(found)
 
     return run
 
 
-def _passing(fp: np.ndarray, packed: np.ndarray, x: np.ndarray, y: np.ndarray, banding: Banding) -> list[np.ndarray]:
-    """Of pairs of rows, the pairs of fingerprints with enough equal minhash bytes, the smaller first."""
-    spare = 8 * packed.shape[1] - banding.hashes  # bytes that are 0 in all
-    ok = (equal_bytes(packed[x], packed[y]) - spare >= banding.least_equal) & (fp[x] != fp[y])
-    x, y = fp[x[ok]], fp[y[ok]]
+def shared_before(low: np.ndarray, own: np.ndarray, x: np.ndarray, y: np.ndarray, banding: Banding, j: int) -> np.ndarray:
+    """Whether pairs of rows of a bucket also share a tuple before j that forms a table with the bucket's."""
+    out = np.zeros(len(x), bool)
+    for k in range(j):
+        of = slice(k * banding.rows, (k + 1) * banding.rows)
+        out |= (low[x, of] == low[y, of]).all(1) & ((k >= banding.a) | (own[x] < k))
+    return out
+
+
+class Sieve:
+    """Keeps of pairs of rows those that can be as similar as the threshold and have enough equal minhash bytes."""
+
+    def __init__(self, fp: np.ndarray, packed: np.ndarray, banding: Banding, threshold: float):
+        self.fp, self.minhashes, self.parities = fp, packed[:, :-2], packed[:, -2:].T.copy()
+        # Of equal bytes, those that are 0 in all rows are not of minhashes.
+        self.least = banding.least_equal + 8 * self.minhashes.shape[1] - banding.hashes
+        size = self.parities[1] >> np.uint64(48)
+        # Sets of n and m shingles with more than (n + m)(1 - t) / (1 + t) in one only are less than t similar.
+        self.room = np.where(size < _LARGEST, size * ((1 - threshold) / (1 + threshold)) + 1e-2, np.inf).astype(np.float32)
+        self.parities[1] <<= np.uint64(16)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart, most = np.zeros(len(x), np.uint8), self.room[x] + self.room[y]
+        for parity in self.parities:
+            apart += np.bitwise_count(parity[x] ^ parity[y])
+            ok = np.flatnonzero(apart <= most)
+            x, y, apart, most = x[ok], y[ok], apart[ok], most[ok]
+        return self._alike(x, y)
+
+    def _alike(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (equal_bytes(self.minhashes[x], self.minhashes[y]) >= self.least) & (self.fp[x] != self.fp[y])
+        return x[ok], y[ok]
+
+    def _square(self, x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of all pairs of a row of x and one of y; of x and itself each pair once."""
+        apart = np.zeros((len(x), len(y)), np.uint8)
+        for parity in self.parities:
+            apart += np.bitwise_count(parity[x][:, None] ^ parity[y])
+        ok = apart <= self.room[x][:, None] + self.room[y]
+        at = np.flatnonzero(np.triu(ok, 1) if same else ok)
+        return self._alike(x[at // len(y)], y[at % len(y)])
+
+    def pairs(self, k: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of rows with equal keys that are kept; ``k`` are the rows' keys, in order."""
+        bounds = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        sizes = np.diff(np.append(bounds, len(k)))
+        few = np.repeat((sizes > 1) & (sizes < _DENSE), sizes)
+        some, at = rows[few], np.arange(int(few.sum()))
+        for x, y in run_pairs(k[few], at):
+            yield self(some[x], some[y])
+        for g in np.flatnonzero(sizes >= _DENSE):
+            parts = [rows[at : at + _SQUARE][: bounds[g] + sizes[g] - at] for at in range(bounds[g], bounds[g] + sizes[g], _SQUARE)]
+            for n, x in enumerate(parts):
+                for y in parts[n:]:
+                    yield self._square(x, y, y is x)
+
+
+def _ordered(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Pairs of rows as pairs of fingerprints, the smaller first."""
+    x, y = fp[x], fp[y]
     return [np.stack([np.minimum(x, y), np.maximum(x, y)], 1)] if len(x) else []
 
 
@@ -353,17 +438,17 @@ def _unique_pairs(found: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
 
-def _tile_pairs(banding: Banding, hold: int):
+def _tile_pairs(banding: Banding, hold: int, threshold: float):
     """Candidate pairs within the tiles of a sorted partition; a tile of two blocks compares across them only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, (fp, block, across, *packed), _ in buckets(batches, hold, split=False):
-            packed = np.stack(packed, 1).view(np.uint64)
+            sieve = Sieve(fp, np.stack(packed, 1).view(np.uint64), banding, threshold)
             found: list[np.ndarray] = []
-            for x, y in run_pairs(key, np.arange(len(key))):
+            for x, y in sieve.pairs(key, np.arange(len(key))):
                 apart = ~across[x].astype(bool) | (block[x] != block[y])
-                found += _passing(fp, packed, x[apart], y[apart], banding)
-                if sum(map(len, found)) > 1 << 20:
+                found += _ordered(fp, x[apart], y[apart])
+                if sum(map(len, found)) > _FOUND:
                     yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp_1", "fp_2"]) for a, b in _unique_pairs(found))
                     found = []
             yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp_1", "fp_2"]) for a, b in _unique_pairs(found))
@@ -372,7 +457,7 @@ def _tile_pairs(banding: Banding, hold: int):
 
 
 def _tiled(rows: DataFrame, longs: list[str], hold: int) -> DataFrame:
-    """Rows under pair keys, dealt to tiles: key, fp, block, across and the minhash bytes.
+    """Rows under pair keys, dealt to tiles: key, fp, block, across, and the minhash bytes, parities and size.
 
     A key of n rows has s = n / hold blocks by the row's fingerprint, and a row is
     in s tiles, one for each block its own is paired with.
@@ -423,18 +508,18 @@ def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float
     Records with a null id, fewer than ``least_words`` words or no shingle (null,
     empty or short texts) take no part. Repeated rows of an id count once. The
     input's other columns are ignored. Sets are told apart by 64-bit fingerprints
-    and shingles by 40-bit hashes. A task holds ``hold`` rows of 64 bytes and a
-    batch; larger buckets are split, with the same pairs.
+    and shingles by 40-bit hashes. A task holds ``hold`` rows of 80 bytes, a
+    batch and _FOUND candidates; larger buckets are split, with the same pairs.
     """
     banding = banding or Banding.of(threshold)
     longs = _longs(banding)
     sets = shingled(df, id_col, fields, size, least_words)
-    rows = _routed(sets, banding).repartition(partitions(df, banding), "key").sortWithinPartitions("key")
+    rows = _routed(df, id_col, fields, size, least_words, banding).repartition(partitions(df, banding), "key").sortWithinPartitions("key")
     schema = "pair_key long, fp_1 long, fp_2 long, " + ", ".join(f"{c} long" for c in longs)
     # Pairs and rows of large buckets come from one pass; what is checkpointed are mostly the pairs.
-    passed = checkpoint(rows.mapInArrow(_bucket_pairs(banding, hold), schema))
+    passed = checkpoint(rows.mapInArrow(_bucket_pairs(banding, hold, threshold), schema))
     tiles = _tiled(passed.where(F.col("pair_key").isNotNull()).drop("fp_2"), longs, hold).repartition("key").sortWithinPartitions("key")
-    candidates = passed.where(F.col("pair_key").isNull()).select("fp_1", "fp_2").unionByName(tiles.mapInArrow(_tile_pairs(banding, hold), "fp_1 long, fp_2 long")).distinct()
+    candidates = passed.where(F.col("pair_key").isNull()).select("fp_1", "fp_2").unionByName(tiles.mapInArrow(_tile_pairs(banding, hold, threshold), "fp_1 long, fp_2 long")).distinct()
     with_sets = (
         candidates.join(sets.select(F.col("fp").alias("fp_1"), F.col("set").alias("set_1")), "fp_1")
         .join(sets.select(F.col("fp").alias("fp_2"), F.col("set").alias("set_2")), "fp_2")
@@ -447,13 +532,13 @@ def similar_sets(df: DataFrame, id_col: str, fields: list[str], threshold: float
 def partitions(df: DataFrame, banding: Banding) -> int:
     """Partitions for the routed rows: as the session has it, or more, so that one holds about 16 MB by the plan's estimate of the input.
 
-    A record of some 80 stored bytes is routed in rows of 16 bytes and its minhash bytes.
+    A record of some 80 stored bytes is routed in rows of 32 bytes and its minhash bytes.
     Only the number of tasks depends on the estimate; one that is beyond reason (of data without statistics) is left aside.
     """
     spark = df.sparkSession
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    routed = estimate * banding.a * (16 + banding.hashes) // 80
+    routed = estimate * banding.a * (32 + banding.hashes) // 80
     return usual if estimate > 1 << 50 else max(usual, min(routed >> 24, 1 << 17))
 
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -109,3 +110,57 @@ def test_groups_join_chains(spark):
     got = neardup.components(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "a string, b string"))
     by = {r.node: r.component for r in got.collect()}
     assert by == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"} and rows
+
+
+def sets_of(lists):
+    return np.concatenate([[0], np.cumsum([len(s) for s in lists])]), np.concatenate([np.sort(np.array(s, np.uint64)) for s in lists])
+
+
+def rows_of(lists, banding):
+    """Fingerprints and packed minhash bytes, parities and sizes of sets, as they are routed."""
+    offsets, shingles = sets_of(lists)
+    low = np.ascontiguousarray((neardup._sketch(offsets, shingles, banding) >> np.uint64(40)).astype(np.uint8).T)
+    return np.arange(len(lists)), np.concatenate([low.view("<u8"), neardup._parities(offsets, shingles).T], 1)
+
+
+def test_candidates_of_a_dense_bucket_are_passed_on_once_and_in_bounded_parts(monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(neardup, "_PAIRS", 1 << 14)
+    monkeypatch.setattr(neardup, "_SQUARE", 1 << 7, raising=False)
+    monkeypatch.setattr(neardup, "_FOUND", 1 << 15, raising=False)
+    banding, n = Banding.of(0.6), 600
+    fp, packed = rows_of([[*range(198), r.randrange(1000, 1 << 40), r.randrange(1000, 1 << 40)] for _ in range(n)], banding)
+    columns = [pa.array(np.full(n, 64)), pa.array(fp), *(pa.array(np.ascontiguousarray(c)) for c in packed.view(np.int64).T)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "fp", *neardup._longs(banding)])
+    tracemalloc.start()
+    sizes, seen = [], set()
+    for b in neardup._bucket_pairs(banding, 1 << 17, 0.6)(iter([batch])):
+        sizes.append(b.num_rows)
+        seen.update(zip(b["fp_1"].to_pylist(), b["fp_2"].to_pylist())) if len(seen) < 1000 else None
+        some = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= 1 << 16 and all(a < b for a, b in seen)
+    assert some < 60e6
+
+
+def test_sieve_keeps_every_pair_at_the_threshold_and_few_others():
+    r = random.Random(6)
+    for t in (0.5, 0.6, 0.8, 0.95):
+        lists = []
+        for size in [*range(3, 60, 4)] * 2 + [200, 1000]:
+            base = r.sample(range(1 << 40), size)
+            for d in (0, 1, size // 20, size // 8, size // 4, size // 3):
+                lists.append(base[d:] + r.sample(range(1 << 40), d // 2 + 1))
+        lists += [range(70_000), range(69_000)]
+        banding = Banding(2, 12, 12, 0)
+        fp, packed = rows_of(lists, banding)
+        x, y = np.triu_indices(len(lists), 1)
+        kept = set(zip(*(c.tolist() for c in neardup.Sieve(fp, packed, banding, t)(x, y))))
+        sets = [set(s) for s in lists]
+        for a, b in zip(x.tolist(), y.tolist()):
+            if min(len(sets[a]), len(sets[b])) >= t * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]):
+                assert (a, b) in kept
+        pairs = [p for p in neardup.Sieve(fp, packed, banding, t).pairs(np.zeros(len(lists)), np.arange(len(lists)))]
+        assert kept == {p for x, y in pairs for p in zip(x.tolist(), y.tolist())} and len(kept) == sum(len(x) for x, _ in pairs)
+        small = [(a, b) for a, b in kept if len(sets[a] | sets[b]) < 100 and len(sets[a] & sets[b]) < 0.6 * t * len(sets[a] | sets[b])]
+        assert len(small) < 0.02 * len(x)
